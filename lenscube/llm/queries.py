@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenscube.llm import packing
+from lenscube.llm import decontamination, packing
 from lenscube.llm.common import load
 
 
@@ -20,8 +20,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(load(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = decontamination.index(load(spark, sf_dir, "documents"))
+    return decontamination.report(decontamination.search(postings, load(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_decontamination": op5_decontamination,
 }
 
 #: Where SQL can express the query.
