@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenscube.llm import decontamination, packing, quality, simhash
+from lenscube.llm import decontamination, packing, quality, secrets, simhash
 from lenscube.llm.common import load
 
 
@@ -33,11 +33,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.search(postings, load(spark, sf_dir, "benchmark")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
+    "op9_secrets": op9_secrets,
 }
 
 #: Where SQL can express the query.
