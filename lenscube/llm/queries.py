@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenscube.llm import decontamination, packing, quality, secrets, simhash
+from lenscube.llm import decontamination, packing, quality, secrets, simhash, warc
 from lenscube.llm.common import load
 
 
@@ -33,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.search(postings, load(spark, sf_dir, "benchmark")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(warc.round_trip(load(spark, sf_dir, "pages")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(load(spark, sf_dir, "documents")))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
+    "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
 }
 
