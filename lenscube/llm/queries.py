@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenscube.llm import decontamination, packing, quality, secrets, simhash, warc
+from lenscube.llm import chat, decontamination, packing, quality, secrets, simhash, warc
 from lenscube.llm.common import load
 
 
@@ -33,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.search(postings, load(spark, sf_dir, "benchmark")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_conversations(chat.with_probe(load(spark, sf_dir, "conversations"))))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.round_trip(load(spark, sf_dir, "pages")))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
+    "op7_chat": op7_chat,
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
 }
