@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenscube.llm import chat, decontamination, packing, quality, secrets, simhash, warc
+from lenscube.llm import chat, decontamination, packing, quality, repeats, secrets, simhash, sketch, warc
 from lenscube.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(load(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(repeats.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.search(postings, load(spark, sf_dir, "benchmark")))
 
 
+def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.against_next(load(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_probe(load(spark, sf_dir, "conversations"))))
 
@@ -47,9 +55,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_repeats": op2_repeats,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
+    "op6_sketch": op6_sketch,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
