@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,56 +218,35 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = 10) -> DataFrame:
-    """The documents with every word of an occurring window cut out of their text; the others as they are.
+def keep_clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The documents in which no window of an item occurs, all columns as they were; null texts stay.
 
-    Works on whole rows where they are, so that the table's other columns stay. Words are cut at their
-    bytes in the text; what stands between them stays.
+    Blocks of items are filters one after the other, each on an index of the batch at hand.
     """
-    blocks = list(_blocks(items, "item_id", "text", window, 1 << 62))
-    wanted = {w for block in blocks for _, found in block for w in found}
-    if sum(sum(map(len, w)) for w in wanted) > 256 << 20:
-        raise ValueError("more than 256 MB of test windows: clean in blocks of items")
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    place = docs.columns.index(text)
-    arrow_fields = docs.schema
+    for block in _blocks(items, item_id, text, window, block_bytes):
+        docs = docs.where(~_hit_by(docs.sparkSession.sparkContext.broadcast({w for _, found in block for w in found}))(F.col(text)))
+    return docs
 
-    def run(batches):
-        for whole in batches:
-            body = whole.column(place)
-            pairs = pa.RecordBatch.from_arrays([pa.nulls(whole.num_rows, pa.int64()), body], ["doc_id", "text"])
-            at, new = 0, []
-            for b in slices([pairs], 4 << 20):
-                texts = b.column(1).to_pylist()
-                new.extend(_cleaned(texts, shared.value))
-                at += b.num_rows
-            columns = [pa.array(new, pa.string()) if k == place else whole.column(k) for k in range(whole.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=whole.schema)
 
-    return docs.mapInArrow(run, arrow_fields)
+def _hit_by(wanted):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        found: list[bool] = []
+        rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        for b in slices([rows], 4 << 20):
+            found.extend(_hit(b.column(1).to_pylist(), wanted.value))
+        return pd.Series(found, dtype=bool)
+
+    return hit
 
 
-def _cleaned(texts: list[str | None], wanted: set) -> list[str | None]:
+def _hit(texts: list[str | None], wanted: set) -> list[bool]:
     p = Postings(dict(zip(("doc_ids", "known", "ends", "terms", "counts", "postings"), segment([0] * len(texts), texts), strict=True)))
-    begins = np.concatenate(([0], p.ends[:-1])) if len(texts) else p.ends
-    spans: dict[int, list] = {}
+    out = np.zeros(len(texts), bool)
     for terms in wanted:
         if all(t in p.at for t in terms):
-            for start in p.phrase(terms).tolist():
-                d = int(np.searchsorted(p.ends, start, side="right"))
-                spans.setdefault(d, []).append((start - int(begins[d]), start - int(begins[d]) + len(terms)))
-    out = list(texts)
-    for d, found in spans.items():
-        raw = texts[d].encode("utf-8", "replace")
-        inside = np.frombuffer(raw.translate(_FOLD), np.uint8) != 32
-        edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-        first, last = edges[::2], edges[1::2]
-        kept, at = [], 0
-        for s, e in joined(found):
-            kept.append(raw[at : first[s]])
-            at = int(last[e - 1])
-        out[d] = b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
-    return out
+            out[np.searchsorted(p.ends, p.phrase(terms), side="right")] = True
+    return out.tolist()
 
 
 def items_digest(items: list[str]) -> str:

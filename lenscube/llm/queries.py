@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenscube.llm import chat, decontamination, packing, quality, repeats, secrets, simhash, sketch, warc
+from lenscube.llm import chat, decontamination, licenses, packing, quality, repeats, secrets, simhash, sketch, warc
 from lenscube.llm.common import load
 
 
@@ -53,6 +53,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(load(spark, sf_dir, "documents")))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_repeats": op2_repeats,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 
 #: Where SQL can express the query.

@@ -164,6 +164,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
 
 
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id: the smallest of each component stays."""
+    """One document of each component, the one with the smallest doc_id, all columns as they were.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay, but for ones with equal texts.
+    """
     kept = near_duplicates(docs, radius).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    guard = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return first.withColumn("_guard", guard).dropDuplicates(["doc_id", "_guard"]).drop("_guard")

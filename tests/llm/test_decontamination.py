@@ -47,10 +47,11 @@ def test_near():
     assert dec.Postings(row).near((b"a", b"b"), 3).tolist() == [0, 5]
 
 
-def test_clean_cuts_windows_and_keeps_columns(spark):
+def test_keep_clean_keeps_the_others_and_their_columns(spark):
     docs = spark.createDataFrame([(1, "Hi. One two, three! End.", "en"), (2, "nothing", None), (3, None, "de")], "doc_id long, text string, lang string")
-    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    assert [tuple(x) for x in dec.clean(docs, items).orderBy("doc_id").collect()] == [(1, "Hi. ! End.", "en"), (2, "nothing", None), (3, None, "de")]
+    items = spark.createDataFrame([(1, "one two three"), (2, "x y")], "item_id long, text string")
+    for block in (1, 1 << 20):
+        assert [tuple(x) for x in dec.keep_clean(docs, items, block_bytes=block).orderBy("doc_id").collect()] == [(2, "nothing", None), (3, None, "de")]
 
 
 def test_empty_tables(spark):
