@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     again = anchors.groupBy("shard").applyInPandas(_repeated, "uid long, at long")
     wanted = again.groupBy("uid").agg(F.collect_list("at").alias("wanted"))
     dealt = rows.repartition(parts, "uid")
-    with_wanted = dealt.join(wanted, "uid").select("uid", "text", "key", "wanted")
+    with_wanted = dealt.join(wanted, "uid").select("uid", "text", "key", "wanted", "doc_id")  # all of dealt's columns: its exchange is reused below
     bytes_of = map_rows(with_wanted, lambda b: _segment_rows(b, length), SEGMENTS)
     spans = bytes_of.groupBy("shard").applyInPandas(lambda g: _shard(g, length), SPANS)
     by_uid = spans.groupBy("uid").agg(F.collect_list(F.struct("doc", "span")).alias("found"))
