@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lenscube.llm import chat, decontamination, licenses, packing, quality, repeats, secrets, simhash, sketch, warc
 from lenscube.llm.common import load
+from lenscube.llm.oracles import ORACLES as ORACLES
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -69,6 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
 }
-
-#: Where SQL can express the query.
-ORACLES: dict[str, str] = {}
