@@ -2,13 +2,14 @@
 
 A capture is three records: a request, a response (or a revisit of an equal payload) and metadata; the first
 and last name the second by WARC-Concurrent-To. Archives are written and read by Spark's own file sources, so
-any file system works, in files of bounded length. Equal payloads meet by digest only: the digests and ids
+any file system works, in gzipped files of bounded length. Equal payloads meet by digest only: the digests and ids
 are aggregated before anything is shuffled, and a hot payload is a skewed join that Spark splits.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -79,7 +80,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     metadata = _record("metadata", _name("metadata", F.col("page_id"), digest), fields, "application/warc-fields", target, ("WARC-Concurrent-To", capture))
     value = F.concat_ws(CRLF * 2, request, response, metadata)
     archive = joined.withColumn("revisit", revisit).select(value.alias("value"))
-    archive.write.option("lineSep", CRLF * 2).option("compression", "none").option("maxRecordsPerFile", PER_FILE).mode("overwrite").text(path)
+    archive.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).mode("overwrite").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -111,7 +112,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 out = []
-                for h, block in records(data.as_buffer().to_pybytes()):
+                for h, block in records(gzip.decompress(data.as_buffer())):
                     kind, size, digest, page, body, refers = h["warc-type"], None, None, None, None, h.get("warc-refers-to")
                     if kind in ("response", "revisit"):
                         head, _, body = block.partition(b"\r\n\r\n")
