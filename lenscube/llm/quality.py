@@ -26,6 +26,10 @@ _OF = np.zeros((256, len(_CLASSES)), np.float64)
 for _k, _bytes in enumerate(_CLASSES.values()):
     _OF[list(_bytes), _k] = 1
 WIDTH = len(_CLASSES) + 6
+#: An ordinary text's shares of the classes, which stand in for so many bytes and words of every text: short
+#: texts, whose own shares say little, come out as ordinary ones.
+_ORDINARY = np.array([0.03, 0.78, 0.005, 0.15, 0.01, 0.0005, 0.02, 0.0005, 0.0005, 0.0005, 0.0005, 0.03])
+PRIOR_BYTES, PRIOR_WORDS = 20, 5
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -37,10 +41,11 @@ def features(texts: list[str | None]) -> np.ndarray:
         words, lines = raw.split(), raw.split(b"\n")
         n, w = len(raw), len(words)
         distinct = len(set(words))
-        out[i, : len(_CLASSES)] = np.log((counts + 0.5) / (n + 6.0))
+        out[i, : len(_CLASSES)] = np.log((counts + PRIOR_BYTES * _ORDINARY + 0.05) / (n + PRIOR_BYTES + 0.6))
         out[i, len(_CLASSES) :] = (
-            np.log1p(n), np.log1p(w), np.log((n - counts[3] + 1) / (w + 1)),
-            np.log((distinct + 1) / (w + 1)), np.log((len(set(lines)) + 0.5) / (len(lines) + 0.5)), np.log((len(lines) + 1) / (w + 1)),
+            np.log1p(n), np.log1p(w), np.log((n - counts[3] + 6 * PRIOR_WORDS) / (w + PRIOR_WORDS)),
+            np.log((distinct + 0.9 * PRIOR_WORDS) / (w + PRIOR_WORDS)), np.log((len(set(lines)) + 2) / (len(lines) + 2)),
+            np.log((len(lines) + PRIOR_WORDS / 20) / (w + PRIOR_WORDS)),
         )
     return out
 
