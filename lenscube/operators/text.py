@@ -24,7 +24,7 @@ def keyness(docs: DataFrame, inside: Column, terms: Column, alpha: float = 0.01,
     before anything else; the totals are one row.
     """
     each = docs.select(inside.cast("int").alias("i"), F.explode(terms).alias("term"))
-    counts = each.groupBy("term").agg(F.sum("i").alias("a"), F.sum(1 - F.col("i")).alias("b"))
+    counts = each.groupBy("term").agg(F.sum("i").alias("a"), F.sum(1 - F.col("i")).alias("b")).persist()  # read for the totals and the terms
     total = counts.agg(F.sum("a"), F.sum("b"), F.count("*")).first()  # one row
     na, nb, prior = float(total[0] or 0), float(total[1] or 0), alpha * total[2]
     a, b = F.col("a") + alpha, F.col("b") + alpha
