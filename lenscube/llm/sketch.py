@@ -27,7 +27,7 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    x = x + np.uint64(seed) * _ODD
+    x = x + np.uint64(seed * int(_ODD) % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * _MIX
     x = (x ^ (x >> np.uint64(27))) * _ODD
     return x ^ (x >> np.uint64(31))
