@@ -29,10 +29,11 @@ WIDTH = len(_CLASSES) + 6
 #: An ordinary text's shares of the classes, which stand in for so many bytes and words of every text: short
 #: texts, whose own shares say little, come out as ordinary ones.
 _ORDINARY = np.array([0.03, 0.78, 0.005, 0.15, 0.01, 0.0005, 0.02, 0.0005, 0.0005, 0.0005, 0.0005, 0.03])
-PRIOR_BYTES, PRIOR_WORDS = 20, 5
+PRIOR_BYTES, PRIOR_WORDS = 60, 2
+SHRINKAGE, RIDGE = 0.1, 0.005  # these four are the choice of ``tuning.choose``, which sees training rows only
 
 
-def features(texts: list[str | None]) -> np.ndarray:
+def features(texts: list[str | None], prior_bytes: float = PRIOR_BYTES, prior_words: float = PRIOR_WORDS) -> np.ndarray:
     """A row of transformed statistics for each text; a null text is an empty one."""
     out = np.zeros((len(texts), WIDTH))
     for i, text in enumerate(texts):
@@ -41,11 +42,11 @@ def features(texts: list[str | None]) -> np.ndarray:
         words, lines = raw.split(), raw.split(b"\n")
         n, w = len(raw), len(words)
         distinct = len(set(words))
-        out[i, : len(_CLASSES)] = np.log((counts + PRIOR_BYTES * _ORDINARY + 0.05) / (n + PRIOR_BYTES + 0.6))
+        out[i, : len(_CLASSES)] = np.log((counts + prior_bytes * _ORDINARY + 0.05) / (n + prior_bytes + 0.6))
         out[i, len(_CLASSES) :] = (
-            np.log1p(n), np.log1p(w), np.log((n - counts[3] + 6 * PRIOR_WORDS) / (w + PRIOR_WORDS)),
-            np.log((distinct + 0.9 * PRIOR_WORDS) / (w + PRIOR_WORDS)), np.log((len(set(lines)) + 2) / (len(lines) + 2)),
-            np.log((len(lines) + PRIOR_WORDS / 20) / (w + PRIOR_WORDS)),
+            np.log1p(n), np.log1p(w), np.log((n - counts[3] + 6 * prior_words) / (w + prior_words)),
+            np.log((distinct + 0.9 * prior_words) / (w + prior_words)), np.log((len(set(lines)) + 2) / (len(lines) + 2)),
+            np.log((len(lines) + prior_words / 20) / (w + prior_words)),
         )
     return out
 
@@ -68,7 +69,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def fit_moments(n: np.ndarray, total: np.ndarray, products: np.ndarray, shrinkage: float = 0.1, ridge: float = 0.02) -> Model:
+def fit_moments(n: np.ndarray, total: np.ndarray, products: np.ndarray, shrinkage: float = SHRINKAGE, ridge: float = RIDGE) -> Model:
     """The model from counts (2), sums (2, d) and sums of products (2, d, d) of the classes' rows.
 
     A class without rows takes the moments of all; without any row at all every score is one half.

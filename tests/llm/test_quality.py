@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lenscube.llm import quality
+from lenscube.llm import quality, tuning
 from lenscube.llm.common import load
 
 SF = "/root/testdata/sf0.01"
@@ -26,7 +26,7 @@ def test_density_equals_the_formula():
     r = np.random.default_rng(0)
     x = r.normal(size=(50, 3))
     n, t, p = np.array([30.0, 20.0]), np.stack([x[:30].sum(0), x[30:].sum(0)]), np.stack([x[:30].T @ x[:30], x[30:].T @ x[30:]])
-    m = quality.fit_moments(n, t, p, shrinkage=0.2)
+    m = quality.fit_moments(n, t, p, shrinkage=0.2, ridge=0.02)
     logs = []
     for c, own in ((0, x[:30]), (1, x[30:])):
         cov = np.cov(own.T, bias=True)
@@ -43,3 +43,15 @@ def test_nulls_empties_and_no_labels(spark):
     assert [r.score for r in quality.classify(docs, labels).collect()] == [0.5] * 4
     assert quality.classify(docs.where("false"), labels).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_choice_of_constants_sees_no_held_out_row():
+    ids = list(range(300))
+    texts = [("good words in a plain line. " if i % 3 else "#### 123 !!!! ") * (1 + i % 7) for i in ids]
+    labels = [int(bool(i % 3)) for i in ids]
+    other = [1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y for i, y in zip(ids, labels, strict=True)]
+    blank = ["" if zlib.crc32(str(i).encode()) % 5 == 0 else t for i, t in zip(ids, texts, strict=True)]
+    small = ((20, 60), (2,), (0.1,), (0.005, 0.1))
+    first = tuning.choose([tuning.training_rows(ids, texts, labels)], small)
+    assert len(first) == 4 and first[0][1][0] < 0.05
+    assert first == tuning.choose([tuning.training_rows(ids, blank, other)], small)
