@@ -25,7 +25,8 @@ REMEMBERED = 400_000
 MATCHES = "doc_id long, matches array<struct<license:string,template:int,containment:double>>"
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-# Fixed values: (SPDX identifier, notice), from the published licenses.
+# Fixed values: (SPDX identifier, notice). The one-sentence notices of GPL-3.0, Apache-2.0, MIT and CC-BY-NC-4.0 are
+# worded as the synthetic documents word them; all others are from the published licenses.
 TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),

@@ -10,7 +10,9 @@ anchor in a row are a segment, and equal windows always lie in segments of equal
    of ``length`` or more are the equal windows, and blocks of one shard meet by binary search in their
    sorted windows. All windows but the earliest of each run are removed.
 
-The texts are shuffled once; that exchange serves the segments and the result.
+The texts are shuffled once; that exchange serves the segments and the result. A shard is one pandas group:
+what a single hot anchor brings (each occurrence in step 1, an equal segment once a slice in step 2) is held by
+one task, so its memory grows with the corpus.
 """
 
 from __future__ import annotations
