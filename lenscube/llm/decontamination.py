@@ -3,12 +3,14 @@
 The index is sharded by documents: a segment holds the postings (term -> ascending token positions) of a
 bounded run of documents, written once to the shared checkpoint folder. A search takes the test items in
 bounded blocks to every segment; a phrase is found by intersecting its terms' lists, each shifted by the
-term's offset, from the rarest term on. Nothing is shuffled for one block; more blocks meet by document.
+term's offset, from the rarest term on. Nothing is shuffled for one block; more blocks meet by the row's place in
+the index.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,8 +23,10 @@ from lenscube.llm.common import cut, docs_of, map_rows, slices
 
 #: Bytes that are no part of a word: ASCII but for digits and letters. Capitals become small letters.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-SEGMENT = "doc_ids binary, known binary, ends binary, terms binary, counts binary, postings binary"
+SEGMENT = "doc_ids binary, known binary, ends binary, terms binary, counts binary, postings binary, segment binary"
 HITS = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
+#: A row of the index: its segment and its position there.
+PLACE = "segment binary, position long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,11 +66,11 @@ def segment(ids: list[int | None], texts: list[str | None]) -> tuple:
 
 
 def index(docs: DataFrame, segment_bytes: int = 4 << 20) -> DataFrame:
-    """The stored index: every token of every document, nulls as documents without words."""
+    """The stored index: every token of every document, nulls as documents without words; segments have keys of their own."""
 
     def run(batches):
         for b in slices(batches, segment_bytes):
-            yield [[x] for x in segment(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield [*([x] for x in segment(b.column(0).to_pylist(), b.column(1).to_pylist())), [uuid.uuid4().bytes]]
 
     return cut(map_rows(docs_of(docs), run, SEGMENT))
 
@@ -144,10 +148,11 @@ def _blocks(items: DataFrame, item_id: str, text: str, window: int, most: int) -
 
 
 def search(postings: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """Per document of the index: n_words, merged hit spans in words, and the items with occurring windows.
+    """Per row of the index: n_words, merged hit spans in words, and the items with occurring windows.
 
-    Exact for any number of items: they go out in blocks of bounded size. Items that are null, have a null
-    id or no words match nothing; items that repeat an id are one item.
+    Exact for any number of items: they go out in blocks of bounded size, and blocks meet by row, so that rows
+    which repeat a doc_id or have none stay apart. Items that are null, have a null id or no words match
+    nothing; items that repeat an id are one item.
     """
     parts = []
     for block in _blocks(items, item_id, text, window, block_bytes):
@@ -156,13 +161,14 @@ def search(postings: DataFrame, items: DataFrame, item_id: str = "item_id", text
             for w in found:
                 by_window.setdefault(w, set()).add(name)
         shared = postings.sparkSession.sparkContext.broadcast(by_window)  # of at most block_bytes and one item
-        parts.append(map_rows(postings, lambda batches, shared=shared: _found(batches, shared.value), HITS))
-    found = parts[0]
+        parts.append(map_rows(postings, lambda batches, shared=shared: _found(batches, shared.value), f"{HITS}, {PLACE}"))
+    found = parts[0].drop("segment", "position")
     if len(parts) > 1:
+        found = parts[0]
         for p in parts[1:]:
             found = found.unionAll(p)
-        merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = map_rows(merged, _merged, HITS)
+        merged = found.groupBy("segment", "position").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = map_rows(merged.drop("segment", "position"), _merged, HITS)
     return found
 
 
@@ -227,6 +233,8 @@ def _found(batches: Iterable[pa.RecordBatch], by_window: dict) -> Iterator[list]
                 (p.ends - begins).tolist(),
                 [[{"start": s, "end": e} for s, e in joined(spans.get(d, []))] for d in range(n)],
                 [sorted(items.get(d, ())) for d in range(n)],
+                [row["segment"]] * n,
+                list(range(n)),
             ]
 
 

@@ -41,6 +41,16 @@ def test_equals_brute_force(spark, block):
     assert {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got.collect()} == brute(docs, items)
 
 
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_rows_that_repeat_an_id_or_have_none_stay_apart(spark, block):
+    texts = [(7, "a b c"), (7, "x a b"), (7, "x a b"), (7, "c d and more"), (None, "a b"), (None, None), (None, "q c d")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "b c")], "item_id long, text string")
+    got = dec.report(dec.search(dec.index(docs, segment_bytes=4), items, block_bytes=block)).collect()
+    want = [(d, *brute([(d, t)], [(1, "a b"), (2, "c d"), (3, "b c")])[d]) for d, t in texts]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_near():
     row = dict(zip(("doc_ids", "known", "ends", "terms", "counts", "postings"), dec.segment([1, 2], ["a x x b", "b a c b"])))
     assert dec.Postings(row).near((b"a", b"b"), 2).tolist() == [5]
