@@ -3,8 +3,9 @@
 A template is any function from turns to text. Successive prefixes of a conversation are rendered and
 consecutive outputs compared: what is appended is the new turn's span, and an output that doesn't start with
 the one before shows a template that rewrites history. Where a turn's own text lies is found by rendering it
-with two probe texts. Conversations are sorted streams; long ones are rendered in bounded segments, each
-starting anew, so neither memory nor time grows with the square of a conversation's length.
+with two probe texts. Conversations are sorted streams, each rendered from its true start; this takes time that
+grows with the square of its turns, and holds one conversation. Only ``chatml``, which by its construction joins
+its turns' own outputs, is rendered in bounded segments instead, with the same result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from lenscube.llm.common import map_rows
 
 Turn = tuple[str, str]
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Turns in a segment, at most.
+#: Turns in a segment of a template that is a plain concatenation, at most.
 SEGMENT = 64
 FORMATTED = (
     "conv_id long, segment int, formatted string, turns array<struct<role:string,start:int,end:int>>, "
@@ -80,8 +81,8 @@ def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str,
     return before, whole, loss, rewrites
 
 
-def _segments(batches: Iterable) -> Iterator[tuple[int | None, int, list[Turn]]]:
-    """(conversation, segment, turns) from rows sorted by conversation and turn."""
+def _segments(batches: Iterable, most: int | None) -> Iterator[tuple[int | None, int, list[Turn]]]:
+    """(conversation, segment, turns) from rows sorted by conversation and turn; without ``most`` one segment each."""
 
     def rows() -> Iterator[tuple]:
         for b in batches:
@@ -91,7 +92,7 @@ def _segments(batches: Iterable) -> Iterator[tuple[int | None, int, list[Turn]]]
         held, number = [], 0
         for _, role, text in own:
             held.append((role or "", text or ""))
-            if len(held) == SEGMENT:
+            if len(held) == most:
                 yield conv, number, held
                 held, number = [], number + 1
         if held:
@@ -101,6 +102,7 @@ def _segments(batches: Iterable) -> Iterator[tuple[int | None, int, list[Turn]]]
 def format_conversations(conversations: DataFrame, render: Callable[[list[Turn]], str] = chatml) -> DataFrame:
     """Segments in order: conv_id, segment, formatted, turns (spans), loss (assistants' texts), rewrites.
 
+    A conversation is one segment, but for ``chatml`` over SEGMENT turns; spans count from the segment's start.
     Rows are taken by turn; ties by role and text; null turns first. Null roles and texts are empty. A null
     conv_id is a conversation of its own. An empty table gives no rows. Rows of a conversation stay together
     and in order in the result's partitions.
@@ -108,9 +110,11 @@ def format_conversations(conversations: DataFrame, render: Callable[[list[Turn]]
     columns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = columns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
+    most = SEGMENT if render is chatml else None  # nothing is known of any other template
+
     def run(batches):
         rows, size = [], 0
-        for conv, number, turns in _segments(batches):
+        for conv, number, turns in _segments(batches, most):
             out, whole, loss, rewrites = spans(turns, render)
             rows.append((
                 conv, number, out, [{"role": r, "start": a, "end": b} for (r, _), (a, b) in zip(turns, whole, strict=False)],

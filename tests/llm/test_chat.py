@@ -41,6 +41,25 @@ def test_template_that_rewrites_history_is_found():
     assert [out[a:b] for a, b in loss] == ["yes"] and whole[0][0] == 0 and whole[-1][1] == len(out)
 
 
+def test_long_conversations_are_rendered_from_their_start(spark):
+    def headed(turns):
+        return "<s>" + "".join(f"[{r}:{t}]" for r, t in turns)
+
+    def fading(turns):  # turns more than 70 back are shortened
+        return "".join(f"[{r}:{t if k >= len(turns) - 70 else '...'}]" for k, (r, t) in enumerate(turns))
+
+    turns = [("assistant" if t % 2 else "user", f"said {t}") for t in range(130)]
+    df = spark.createDataFrame([(c, t, *turns[t]) for c, n in ((1, 130), (2, 65), (3, 3)) for t in range(n)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_conversations(df, headed).collect()}
+    for c, n in ((1, 130), (2, 65), (3, 3)):
+        r, own = got[c], turns[:n]
+        assert r.formatted == headed(own) and r.segment == 0 and not r.rewrites
+        assert [r.formatted[s.start : s.end] for s in r.loss] == [t for role, t in own if role == "assistant"]
+        assert "".join(r.formatted[s.start : s.end] for s in r.turns) == r.formatted and len(r.turns) == n
+    assert {r.conv_id: r.rewrites for r in chat.format_conversations(df, fading).collect()} == {1: True, 2: False, 3: False}
+    assert chat.format_conversations(df).where("conv_id = 1").count() == 3
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.format_conversations(none)).count() == 0
