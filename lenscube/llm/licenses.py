@@ -3,8 +3,9 @@
 A template of n five-word shingles belongs to the class of w shingles, the power of two from n on. A document's
 shingles are taken in windows of 2 w at a stride of w, so that any run of w lies whole in a window. A window
 that holds 0.8 of a template resembles it by 0.19 at least; with bands of one row each, 32 bands miss that
-with a chance of 0.81 ** 32, about 0.1 %. What is retrieved is decided by exact containment alone. The
-templates are a fixed, small set; documents are never shuffled.
+with a chance of 0.81 ** 32, about 0.1 %. What is retrieved is decided by exact containment alone; of a template
+and its variants, which differ by a few words, only those of the highest containment count. The templates are a
+fixed, small set; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -42,6 +43,21 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# Fixed values: (template, SPDX identifier, notice): other licenses whose notices hold 0.8 of a template. The published
+# notices of the GNU licenses; for the one-sentence template and MPL-2.0, the same sentence with the other name or version.
+VARIANTS = (
+    (0, "GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (0, "AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (0, "LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    (0, "LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    (1, "GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    (1, "AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (1, "LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (1, "LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    (1, "LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    (7, "MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
+)
+
 
 class _Hashes(dict):
     """A 64-bit hash by word, for as many words as may be remembered."""
@@ -81,11 +97,12 @@ def window_minima(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """The templates' band values by class."""
+    """The templates' band values by class; variants are numbered on from the templates."""
 
-    def __init__(self, templates: Iterable[tuple[str, str]], bands: int = BANDS):
-        self.names = [name for name, _ in templates]
-        self.sets = [np.unique(shingles(words_of(text))) for _, text in templates]
+    def __init__(self, templates: Iterable[tuple[str, str]], bands: int = BANDS, variants: Iterable[tuple[int, str, str]] = ()):
+        self.names = [name for name, _ in templates] + [name for _, name, _ in variants]
+        self.sets = [np.unique(shingles(words_of(text))) for text in [text for _, text in templates] + [text for _, _, text in variants]]
+        self.families = [*range(len(templates)), *(k for k, _, _ in variants)]
         self.bands, self.classes = bands, {}
         for k, s in enumerate(self.sets):
             if len(s):
@@ -104,7 +121,7 @@ class Index:
                 yield k, np.flatnonzero(hit[k]) * width
 
     def matches(self, docs: list[np.ndarray], least: float = LEAST) -> list[list[tuple[str, int, float]]]:
-        """(license, template, containment) of each document's verified templates."""
+        """(license, template, containment) of each document's verified templates; of a family the highest, ties included."""
         ends = np.cumsum([len(d) for d in docs])
         found: list[dict] = [{} for _ in docs]
         joined = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
@@ -117,18 +134,28 @@ class Index:
                     share = float(np.isin(self.sets[k], docs[d]).mean())
                     if share >= least:
                         found[d][k] = share
+        for f in found:
+            best: dict[int, float] = {}
+            for k, share in f.items():
+                best[self.families[k]] = max(share, best.get(self.families[k], 0.0))
+            for k in [k for k, share in f.items() if share < best[self.families[k]]]:
+                del f[k]
         return [[(self.names[k], k, f[k]) for k in sorted(f)] for f in found]
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, matches) of every row: the templates whose shingles a document holds by ``least`` or more.
 
+    TEMPLATES are told from their VARIANTS: of each such family only the highest containment matches (several
+    where they tie, as when a document holds both notices or breaks off before they differ).
     Null, empty and very short texts hold none; rows that repeat a doc_id are scanned each by itself; an empty
     table gives no rows.
     """
 
+    variants = VARIANTS if templates is TEMPLATES else ()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
-        index = Index(templates)
+        index = Index(templates, variants=variants)
         for b in slices(batches, 2 << 20):
             found = index.matches([shingles(words_of(t)) for t in b.column(1).to_pylist()], least)
             yield [b.column(0).to_pylist(), [[{"license": n, "template": k, "containment": c} for n, k, c in f] for f in found]]

@@ -33,6 +33,21 @@ def test_equals_brute_force(spark):
     assert licenses.report(licenses.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
+def test_variants_of_a_family_are_told_apart(spark):
+    short = "This work is licensed under the GNU {} License, version {}."
+    long = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    names = [
+        ("GPL-3.0", "program", "General Public", "3"), ("GPL-2.0", "program", "General Public", "2"), ("AGPL-3.0", "program", "Affero General Public", "3"),
+        ("LGPL-3.0", "library", "Lesser General Public", "3"), ("LGPL-2.1", "library", "Lesser General Public", "2.1"),
+    ]
+    cases = [(n, short.format(who, v)) for n, _, who, v in names] + [(n, long.format(what, who, v)) for n, what, who, v in names]
+    cases += [("GPL-2.0,GPL-3.0", f"{cases[0][1]} lorem ipsum {cases[1][1]}"), ("AGPL-3.0,GPL-3.0", f"{cases[0][1]} lorem ipsum {cases[7][1]}")]
+    cases += [("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.")]
+    docs = [(i, f"lorem ipsum dolor {t} sit amet consectetur") for i, (_, t) in enumerate(cases)]
+    got = licenses.report(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    assert {x.doc_id: x.licenses for x in got} == {i: n for i, (n, _) in enumerate(cases)}
+
+
 def test_bands_find_what_they_promise():
     r = np.random.default_rng(3)
     index = licenses.Index([("x", " ".join(f"t{i}" for i in range(13)))])  # 9 shingles, class of 16: the hardest case
