@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
+
 from lenscube.llm import chat
 
 
@@ -36,7 +39,10 @@ def test_template_that_rewrites_history_is_found():
         return "".join(f"[{r}:{t if k == len(turns) - 1 else '...'}]" for k, (r, t) in enumerate(turns))
 
     turns = [("user", "hello"), ("assistant", "yes"), ("user", "more")]
-    assert chat.spans(turns, forgetful)[3] and not chat.spans(turns, chat.chatml)[3]
+    out, whole, loss, rewritten = chat.spans(turns, forgetful)
+    assert rewritten == 1 and out == "[user:...][assistant:...][user:more]"
+    assert whole == [(None, None), (None, None), (31, 35)] and loss == [] and out[31:35] == "more"
+    assert chat.spans(turns, chat.chatml)[3] is None
     out, whole, loss, _ = chat.spans(turns, chat.chatml)
     assert [out[a:b] for a, b in loss] == ["yes"] and whole[0][0] == 0 and whole[-1][1] == len(out)
 
@@ -56,10 +62,33 @@ def test_long_conversations_are_rendered_from_their_start(spark):
         assert r.formatted == headed(own) and r.segment == 0 and not r.rewrites
         assert [r.formatted[s.start : s.end] for s in r.loss] == [t for role, t in own if role == "assistant"]
         assert "".join(r.formatted[s.start : s.end] for s in r.turns) == r.formatted and len(r.turns) == n
-    assert {r.conv_id: r.rewrites for r in chat.format_conversations(df, fading).collect()} == {1: True, 2: False, 3: False}
+    faded = {r.conv_id: r for r in chat.format_conversations(df, fading).collect()}
+    assert {c: (r.rewrites, r.rewritten_at) for c, r in faded.items()} == {1: (True, 70), 2: (False, None), 3: (False, None)}
+    r = faded[1]  # a span a turn, with its role and, where the final output has it, its text
+    assert r.formatted == fading(turns) and [s.role for s in r.turns] == [role for role, _ in turns]
+    assert [s.start is None for s in r.turns] == [k < 60 for k in range(130)]
+    assert [r.formatted[s.start : s.end] for s in r.turns[60:]] == [t for _, t in turns[60:]]
+    assert [r.formatted[s.start : s.end] for s in r.loss] == [t for role, t in turns[60:] if role == "assistant"]
     assert chat.format_conversations(df).where("conv_id = 1").count() == 3
 
 
+def test_a_template_that_does_not_join_its_turns_is_refused():
+    def headed(turns):
+        return "<s>" + "".join(t for _, t in turns)
+
+    headed.joins_turns = True
+    table = pa.RecordBatch.from_pydict({"conv_id": [1] * 65, "role": ["user"] * 65, "text": ["x"] * 65})
+    with pytest.raises(ValueError, match="joins"):
+        list(chat._segments([table], headed))
+
+
+def test_ties_repeated_rows_and_clashing_names(spark):
+    rows = [(1, 0, "user", "b", 1, ""), (1, 0, "user", "a", 2, ""), (1, 0, "user", "a", 3, ""), (1, None, "assistant", "x" * 300_000, 4, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment int, formatted string")
+    (r,) = chat.format_conversations(df).collect()
+    assert chat.parse(r.formatted) == [("assistant", "x" * 300_000), ("user", "a"), ("user", "a"), ("user", "b")]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.format_conversations(none)).count() == 0
