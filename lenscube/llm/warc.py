@@ -2,30 +2,35 @@
 
 A capture is three records: a request, a response (or a revisit of an equal payload) and metadata; the first
 and last name the second by WARC-Concurrent-To. Archives are written and read by Spark's own file sources, so
-any file system works, in gzipped files of bounded length. Equal payloads meet by digest only: the digests and ids
-are aggregated before anything is shuffled, and a hot payload is a skewed join that Spark splits.
+any file system works, in gzipped files of FILE_BYTES and one capture at most; they are parsed record by record.
+Equal payloads meet by digest only (SHA-1, as the format has it): the digests and ids are aggregated before
+anything is shuffled, and a hot payload is a skewed join that Spark splits.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lenscube.llm.common import checkpoint_dir, map_rows
+from lenscube.llm.components import components
 
 # Fixed values of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_type string, record_id string, concurrent_to string, refers_to string, uri string, payload_bytes long, payload_digest string, page_id long, payload string"
-#: Captures in one archive file, at most.
-PER_FILE = 2000
+RECORD = "record_type string, record_id string, concurrent_to array<string>, refers_to string, uri string, payload_bytes long, payload_digest string, page_id long, payload string"
+#: Bytes of captures after which an archive file ends, before compression; bytes that a parsed batch holds.
+FILE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -34,113 +39,216 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), DIGITS, BASE32)
 
 
-def _name(kind: str, page_id: Column, digest: Column) -> Column:
-    """A record's id, a UUID made from the page's id and payload digest: equal again when a task is run again."""
-    h = F.md5(F.concat_ws(" ", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("")), digest))
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+def _name(kind: str, *parts: Column) -> Column:
+    """A record's id, a UUID made from what tells its capture from others."""
+    h = F.md5(F.concat_ws(" ", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    groups = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *groups), F.lit(">"))
 
 
-def _record(kind: Column | str, record_id: Column, block: Column, content: str, *headers: tuple[str, Column]) -> Column:
-    """A whole record but for the two line ends after it, which the writer puts."""
-    lines = [F.lit(VERSION), F.concat(F.lit("WARC-Type: "), kind if isinstance(kind, Column) else F.lit(kind)), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit("WARC-Date: 2024-01-01T00:00:00Z")]
+def _record(kind: str, record_id: Column, block: Column, content: str, *headers: tuple[str, Column], more: Column | None = None) -> Column:
+    """A whole record but for the two line ends after it, which the writer puts; ``more`` are whole header lines."""
+    lines = [F.lit(VERSION), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit("WARC-Date: 2024-01-01T00:00:00Z")]
     lines += [F.concat(F.lit(f"{k}: "), v) for k, v in headers]
     lines += [F.lit(f"Content-Type: {content}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF), F.lit("") if more is None else more, F.lit(CRLF), block)
 
 
 def originals(pages: DataFrame) -> DataFrame:
-    """(digest, original): the largest page_id of each payload; digests only are shuffled."""
-    return pages.groupBy("digest").agg(F.max("page_id").alias("original"))
+    """(digest, top, again): of each payload the largest page_id with its url's key, and whether rows repeat.
+
+    Only digests and keys are shuffled, aggregated before.
+    """
+    keys = pages.groupBy("digest", "page_id", "url_key").agg(F.count("*").alias("n"))
+    return keys.groupBy("digest").agg(F.max(F.struct("page_id", "url_key")).alias("top"), (F.max("n") > 1).alias("again"))
+
+
+def _numbered(batches, file_bytes: int) -> Iterator[list]:
+    """(value, file): a partition's captures with the number of their file."""
+    size = 0
+    for b in batches:
+        ends = size + np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield [b.column(0), ((ends - 1) // file_bytes).astype(np.int32)]
+        size = int(ends[-1]) if len(ends) else size
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Writes a capture for each row of (page_id, url, html) to archive files under ``path``.
 
-    A null html is an empty payload, a null url an empty one. Payloads of ``least`` bytes or more that equal
-    another page's are revisits of the one with the largest page_id; smaller ones are always responses. Rows
-    that repeat both page_id and payload are one capture.
+    A null html is an empty payload, a null url an empty one; line ends in a url are percent-encoded, and the
+    metadata record has the url as it was. Payloads of ``least`` bytes or more that equal another page's are
+    revisits of the one with the largest page_id; smaller ones, and rows without a page_id, are always
+    responses. Rows that repeat, wholly or in page_id and html, are a capture each; those with the largest
+    page_id are all responses. Other columns, of whatever name, are not read. An empty table gives no captures.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\r\n]", "%0A")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"))
-    joined = rows.join(originals(rows), "digest", "left")
-    revisit = F.coalesce((F.octet_length("html") >= least) & (F.col("original") != F.col("page_id")), F.lit(False))
-    capture, digest, page = _name("capture", F.col("page_id"), F.col("digest")), F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    html, given = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), given.alias("url"), F.xxhash64(given).alias("url_key"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"))
+    revisit = F.coalesce((F.octet_length("html") >= least) & (F.col("top.page_id") != F.col("page_id")), F.lit(False))
+    # a row that another may repeat has the number of its place in the result in its ids
+    serial = F.when(F.col("again"), F.monotonically_increasing_id())
+    joined = rows.join(originals(rows), "digest", "left").withColumn("serial", serial).withColumn("revisit", revisit)
+    of = (F.col("page_id"), F.col("url_key"), F.col("digest"), F.col("serial"))
+    capture, digest, page = _name("capture", *of), F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
-    target = ("WARC-Target-URI", F.col("url"))
+    target = ("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
     of_payload = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest))
-    refers = ("WARC-Refers-To", F.when(F.col("revisit"), _name("capture", F.col("original"), digest)))
+    # the original of a payload whose rows repeat has no id that can be told from here; its page_id is in the metadata
+    refers = F.when(~F.col("again"), F.concat(F.lit("WARC-Refers-To: "), _name("capture", F.col("top.page_id"), F.col("top.url_key"), digest, F.lit(None)), F.lit(CRLF))).otherwise(F.lit(""))
     response = F.when(
-        F.col("revisit"), _record("revisit", capture, head, "application/http;msgtype=response", target, of_payload, ("WARC-Profile", F.lit(PROFILE)), refers)
+        F.col("revisit"), _record("revisit", capture, head, "application/http;msgtype=response", target, of_payload, ("WARC-Profile", F.lit(PROFILE)), more=refers)
     ).otherwise(_record("response", capture, F.concat(head, F.col("html")), "application/http;msgtype=response", target, of_payload))
-    request = _record("request", _name("request", F.col("page_id"), digest), F.lit(f"GET / HTTP/1.1{CRLF * 2}"), "application/http;msgtype=request", target, ("WARC-Concurrent-To", capture))
-    refers_page = F.when(F.col("revisit"), F.col("original").cast("string")).otherwise(F.lit(""))
-    fields = F.concat(F.lit("page-id: "), page, F.lit(f"{CRLF}refers-to-page-id: "), refers_page, F.lit(CRLF))
-    metadata = _record("metadata", _name("metadata", F.col("page_id"), digest), fields, "application/warc-fields", target, ("WARC-Concurrent-To", capture))
+    request = _record("request", _name("request", *of), F.lit(f"GET / HTTP/1.1{CRLF * 2}"), "application/http;msgtype=request", target, ("WARC-Concurrent-To", capture))
+    refers_page = F.when(F.col("revisit"), F.col("top.page_id").cast("string")).otherwise(F.lit(""))
+    escaped = F.replace(F.replace(F.replace(F.col("url"), F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+    of_url = F.when(F.col("url").rlike("[\r\n]"), F.concat(F.lit("page-url: "), escaped, F.lit(CRLF))).otherwise(F.lit(""))
+    fields = F.concat(F.lit("page-id: "), page, F.lit(f"{CRLF}refers-to-page-id: "), refers_page, F.lit(CRLF), of_url)
+    metadata = _record("metadata", _name("metadata", *of), fields, "application/warc-fields", target, ("WARC-Concurrent-To", capture))
     value = F.concat_ws(CRLF * 2, request, response, metadata)
-    archive = joined.withColumn("revisit", revisit).select(value.alias("value"))
-    archive.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).mode("overwrite").text(path)
-
-
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an archive file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].split(b"\r\n")
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.decode().lower(): v.decode() for k, v in (x.split(b": ", 1) for x in lines)}
-        start = end + 4
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
-        at += 4
+    archive = map_rows(joined.select(value.alias("value")), lambda batches: _numbered(batches, file_bytes), "value string, file int")
+    archive.write.partitionBy("file").option("lineSep", CRLF * 2).option("compression", "gzip").mode("overwrite").text(path)
+
+
+def _inflated(data, step: int = 1 << 20) -> Iterator[bytes]:
+    """The plain bytes of a file, which is gzip (of any number of members) or plain, piece by piece."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[i : i + step]) for i in range(0, len(view), step))
+        return
+    member = zlib.decompressobj(31)
+    for i in range(0, len(view), step):
+        rest = bytes(view[i : i + step])
+        while rest:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            yield member.decompress(rest, 4 * step)
+            rest = member.unused_data if member.eof else member.unconsumed_tail
+
+
+def _headers(lines: list[bytes]) -> dict[str, list[str]]:
+    """Header values by lower-case name; a name may have several, and a line that begins with white space goes on."""
+    found: dict[str, list[str]] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            found[name][-1] = f"{found[name][-1]} {line.strip().decode('utf-8', 'replace')}".strip()
+        elif b":" in line:
+            key, value = line.split(b":", 1)
+            name = key.strip().decode("utf-8", "replace").lower()
+            found.setdefault(name, []).append(value.strip().decode("utf-8", "replace"))
+    return found
+
+
+def records(data) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """(headers, block) of each record of an archive file; one record and a step of the file are held."""
+    held, pieces = bytearray(), _inflated(data)
+
+    def until(found) -> bool:
+        while not found():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        until(lambda: held.lstrip(b"\r\n"))  # records end by two line ends, at times by more
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        if not held:
+            return
+        if not until(lambda: b"\r\n\r\n" in held):
+            raise ValueError("a record's headers don't end")
+        end = held.index(b"\r\n\r\n")
+        version, *lines = bytes(held[:end]).split(b"\r\n")
+        headers = _headers(lines)
+        if not version.startswith(b"WARC/") or "content-length" not in headers:
+            raise ValueError(f"no record: {version[:40]!r}")
+        stop = end + 4 + int(headers["content-length"][0])
+        if not until(lambda: len(held) >= stop):  # noqa: B023
+            raise ValueError("a record breaks off")
+        yield headers, bytes(memoryview(held)[end + 4 : stop])
+        del held[:stop]
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _parsed(headers: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
+    """A row of RECORD. What a foreign record lacks is taken from its block: length and digest of the payload."""
+
+    def one(name: str) -> str | None:
+        return headers[name][0] if headers.get(name) else None
+
+    kind, uri, refers = one("warc-type"), one("warc-target-uri"), one("warc-refers-to")
+    size, digest, page, body = None, None, None, None
+    if kind in ("response", "revisit"):
+        http = block[:5] == b"HTTP/"
+        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        stated = _headers(head.split(b"\r\n")[1:]).get("content-length", [""])[0]
+        size = int(stated) if stated.isdigit() else len(body) if kind == "response" else None
+        digest = (one("warc-payload-digest") or "").rpartition(":")[2] or None
+        if kind == "response":
+            own = digest_of(body)
+            given = one("warc-payload-digest") or ""
+            if given.lower().startswith("sha1:") and own != digest:
+                raise ValueError(f"payload of {one('warc-record-id')} differs from its digest")
+            digest = digest or own
+        body = body.decode("utf-8", "replace") if payloads and kind == "response" else None
+    elif kind == "metadata":
+        own = _headers(block.split(b"\r\n"))
+        page, refers = own.get("page-id", [""])[0], own.get("refers-to-page-id", [""])[0] or refers
+        page = int(page) if page.lstrip("-").isdigit() else None
+        if "page-url" in own:
+            ends = {"r": "\r", "n": "\n"}
+            uri = re.sub(r"\\(.)", lambda m: ends.get(m[1], m[1]), own["page-url"][0])
+    return kind, one("warc-record-id"), headers.get("warc-concurrent-to", []), refers, uri, size, digest, page, body
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives under ``path``; payload is null without ``payloads``.
+    """The records of the archives under ``path``, gzipped or plain; payload is null without ``payloads``.
 
-    A response's payload is checked against its digest; a revisit's length and digest are its headers'.
+    A response's payload is checked against its SHA-1 digest, where it has one; a revisit's length and digest
+    are its headers'. A response without a digest or length has its payload's. Header names are matched in any
+    case; a record may have several concurrent-to headers. A record that breaks off or lacks a length raises.
     """
 
     def run(batches):
         for b in batches:
             for data in b.column(0):
-                out = []
-                for h, block in records(gzip.decompress(data.as_buffer())):
-                    kind, size, digest, page, body, refers = h["warc-type"], None, None, None, None, h.get("warc-refers-to")
-                    if kind in ("response", "revisit"):
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        size = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                        digest = h["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response" and (len(body) != size or digest_of(body) != digest):
-                            raise ValueError(f"payload of {h['warc-record-id']} differs from its digest")
-                        body = body.decode("utf-8") if payloads and kind == "response" else None
-                    elif kind == "metadata":
-                        own = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if ": " in x)
-                        page, refers = own.get("page-id") or None, own.get("refers-to-page-id") or None
-                    out.append((kind, h["warc-record-id"], h.get("warc-concurrent-to"), refers, h.get("warc-target-uri"), size, digest, page and int(page), body))
+                out, size = [], 0
+                for headers, block in records(data.as_buffer()):
+                    out.append(_parsed(headers, block, payloads))
+                    size += 500 + (len(block) if payloads else 0)
+                    if size > BATCH_BYTES:
+                        yield [list(c) for c in zip(*out, strict=True)]
+                        out, size = [], 0
                 if out:
                     yield [list(c) for c in zip(*out, strict=True)]
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return map_rows(files, run, RECORD)
 
 
-def assemble(found: DataFrame) -> DataFrame:
+def assemble(found: DataFrame, several: bool = False) -> DataFrame:
     """One nested row per capture: its request, response (or revisit) and metadata records.
 
-    Records join through WARC-Concurrent-To; a group is the three records of one capture.
+    Records join through WARC-Concurrent-To: those that name one record, and that record, are a capture. With
+    ``several``, for archives whose records name more than one other, captures are the connected groups of all
+    names; that takes a pass over the ids first. A part that is missing is null; of several records for one
+    part the least stays. Records without an id or name are captures of their own together; other types
+    (warcinfo, conversion) that name nothing have all three parts null and are left out.
     """
     part = F.when(F.col("record_type").isin("response", "revisit"), "response").otherwise(F.col("record_type"))
     nested = F.struct("record_type", "record_id", "uri", "refers_to", "payload_bytes", "payload_digest", "page_id", "payload")
-    keyed = found.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), part.alias("part"), nested.alias("record"))
-    one = [F.max_by("record", F.when(F.col("part") == p, 1)).alias(p) for p in ("request", "response", "metadata")]
+    capture = F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id"))
+    found = found.where(part.isin("request", "response", "metadata"))
+    keyed = found.select(capture.alias("capture_id"), part.alias("part"), nested.alias("record"))
+    if several:
+        named = found.select(F.xxhash64("record_id").alias("u"), F.explode("concurrent_to").alias("name"))
+        group = components(named.select("u", F.xxhash64("name").alias("v")))
+        keyed = keyed.withColumn("node", F.xxhash64("record.record_id")).join(group, "node", "left")
+        keyed = keyed.select(F.coalesce("component", "node").cast("string").alias("capture_id"), "part", "record")
+    one = [F.min(F.when(F.col("part") == p, F.col("record"))).alias(p) for p in ("request", "response", "metadata")]
     return keyed.groupBy("capture_id").agg(*one)
 
 
