@@ -140,33 +140,37 @@ def _headers(lines: list[bytes]) -> dict[str, list[str]]:
 
 def records(data) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """(headers, block) of each record of an archive file; one record and a step of the file are held."""
-    held, pieces = bytearray(), _inflated(data)
+    held, at, pieces = bytearray(), 0, _inflated(data)
 
     def until(found) -> bool:
+        nonlocal held, at
         while not found():
             piece = next(pieces, None)
             if piece is None:
                 return False
-            held.extend(piece)
+            del held[:at]
+            held += piece
+            at = 0
         return True
 
     while True:
-        until(lambda: held.lstrip(b"\r\n"))  # records end by two line ends, at times by more
-        del held[: len(held) - len(held.lstrip(b"\r\n"))]
-        if not held:
+        while until(lambda: len(held) > at) and held[at] in b"\r\n":  # records end by two line ends, at times by more
+            at += 1
+        if at == len(held):
             return
-        if not until(lambda: b"\r\n\r\n" in held):
+        if not until(lambda: held.find(b"\r\n\r\n", at) >= 0):
             raise ValueError("a record's headers don't end")
-        end = held.index(b"\r\n\r\n")
-        version, *lines = bytes(held[:end]).split(b"\r\n")
+        size = held.index(b"\r\n\r\n", at) - at
+        version, *lines = bytes(held[at : at + size]).split(b"\r\n")
         headers = _headers(lines)
         if not version.startswith(b"WARC/") or "content-length" not in headers:
             raise ValueError(f"no record: {version[:40]!r}")
-        stop = end + 4 + int(headers["content-length"][0])
-        if not until(lambda: len(held) >= stop):  # noqa: B023
+        size, length = size + 4, int(headers["content-length"][0])
+        if not until(lambda: len(held) - at >= size + length):  # noqa: B023
             raise ValueError("a record breaks off")
-        yield headers, bytes(memoryview(held)[end + 4 : stop])
-        del held[:stop]
+        block = bytes(held[at + size : at + size + length])
+        at += size + length
+        yield headers, block
 
 
 def digest_of(payload: bytes) -> str:
