@@ -16,8 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pyarrow.compute as pc
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,8 @@ DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_type string, record_id string, concurrent_to array<string>, refers_to string, uri string, payload_bytes long, payload_digest string, page_id long, payload string"
 #: Bytes of captures after which an archive file ends, before compression; bytes that a parsed batch holds.
-FILE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+FILE_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
+_SEPARATOR = (CRLF * 2).encode()
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -63,13 +63,18 @@ def originals(pages: DataFrame) -> DataFrame:
     return keys.groupBy("digest").agg(F.max(F.struct("page_id", "url_key")).alias("top"), (F.max("n") > 1).alias("again"))
 
 
-def _numbered(batches, file_bytes: int) -> Iterator[list]:
-    """(value, file): a partition's captures with the number of their file."""
-    size = 0
+def _files(batches, file_bytes: int) -> Iterator[list]:
+    """The text of an archive file from captures, one after the other."""
+    held, size = [], 0
     for b in batches:
-        ends = size + np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
-        yield [b.column(0), ((ends - 1) // file_bytes).astype(np.int32)]
-        size = int(ends[-1]) if len(ends) else size
+        for capture in b.column(0):
+            held.append(capture.as_buffer())
+            size += held[-1].size
+            if size >= file_bytes:
+                yield [pa.array([_SEPARATOR.join(held)], pa.binary()).cast(pa.string())]
+                held, size = [], 0
+    if held:
+        yield [pa.array([_SEPARATOR.join(held)], pa.binary()).cast(pa.string())]
 
 
 def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
@@ -104,8 +109,8 @@ def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BY
     fields = F.concat(F.lit("page-id: "), page, F.lit(f"{CRLF}refers-to-page-id: "), refers_page, F.lit(CRLF), of_url)
     metadata = _record("metadata", _name("metadata", *of), fields, "application/warc-fields", target, ("WARC-Concurrent-To", capture))
     value = F.concat_ws(CRLF * 2, request, response, metadata)
-    archive = map_rows(joined.select(value.alias("value")), lambda batches: _numbered(batches, file_bytes), "value string, file int")
-    archive.write.partitionBy("file").option("lineSep", CRLF * 2).option("compression", "gzip").mode("overwrite").text(path)
+    archive = map_rows(joined.select(value.alias("value")), lambda batches: _files(batches, file_bytes), "value string")
+    archive.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def _inflated(data, step: int = 1 << 20) -> Iterator[bytes]:
