@@ -17,7 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lenscube.llm.common import checkpoint_dir, map_rows
@@ -25,7 +26,6 @@ from lenscube.llm.components import components
 
 # Fixed values of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
-DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_type string, record_id string, concurrent_to array<string>, refers_to string, uri string, payload_bytes long, payload_digest string, page_id long, payload string"
 #: Bytes of captures after which an archive file ends, before compression; bytes that a parsed batch holds.
@@ -33,46 +33,64 @@ FILE_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 _SEPARATOR = (CRLF * 2).encode()
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the payload's SHA-1: 160 bits are 8 groups of 20, each four letters."""
-    groups = [F.lpad(F.conv(F.substring(F.sha1(payload), 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
-    return F.translate(F.concat(*groups), DIGITS, BASE32)
-
-
-def _name(kind: str, *parts: Column) -> Column:
+def _name(kind: str, *parts) -> str:
     """A record's id, a UUID made from what tells its capture from others."""
-    h = F.md5(F.concat_ws(" ", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
-    groups = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *groups), F.lit(">"))
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(' '.join([kind, *map(str, parts)]).encode()).hexdigest())}>"
 
 
-def _record(kind: str, record_id: Column, block: Column, content: str, *headers: tuple[str, Column], more: Column | None = None) -> Column:
-    """A whole record but for the two line ends after it, which the writer puts; ``more`` are whole header lines."""
-    lines = [F.lit(VERSION), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit("WARC-Date: 2024-01-01T00:00:00Z")]
-    lines += [F.concat(F.lit(f"{k}: "), v) for k, v in headers]
-    lines += [F.lit(f"Content-Type: {content}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF), F.lit("") if more is None else more, F.lit(CRLF), block)
+def _record(kind: str, record_id: str, block: bytes, content: str, *headers: str) -> bytes:
+    """A whole record but for the two line ends after it."""
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2024-01-01T00:00:00Z", *headers, f"Content-Type: {content}", f"Content-Length: {len(block)}", CRLF]
+    return CRLF.join(lines).encode("utf-8", "replace") + block
 
 
 def originals(pages: DataFrame) -> DataFrame:
-    """(digest, top, again): of each payload the largest page_id with its url's key, and whether rows repeat.
+    """(sha, top, again): of each payload the largest page_id with its url's key, and whether rows repeat.
 
     Only digests and keys are shuffled, aggregated before.
     """
-    keys = pages.groupBy("digest", "page_id", "url_key").agg(F.count("*").alias("n"))
-    return keys.groupBy("digest").agg(F.max(F.struct("page_id", "url_key")).alias("top"), (F.max("n") > 1).alias("again"))
+    keys = pages.groupBy("sha", "page_id", "url_key").agg(F.count("*").alias("n"))
+    return keys.groupBy("sha").agg(F.max(F.struct("page_id", "url_key")).alias("top"), (F.max("n") > 1).alias("again"))
 
 
-def _files(batches, file_bytes: int) -> Iterator[list]:
+def _captures(batches, least: int) -> Iterator[bytes]:
+    """A request, a response or revisit, and metadata for each row, joined by two line ends."""
+    number = TaskContext.get().partitionId() << 40
+    for b in batches:
+        for page, url, key, html, sha, top, top_key, again in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            number += 1
+            body, digest = html.encode("utf-8", "replace"), base64.b32encode(bytes.fromhex(sha)).decode()
+            revisit = page is not None and top != page and len(body) >= least
+            of = (page, key, sha, number if again else "")  # a row that another may repeat has a number in its ids
+            capture = _name("capture", *of)
+            target = "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")
+            head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(body)}{CRLF * 2}".encode()
+            named, http = (target, f"WARC-Payload-Digest: sha1:{digest}"), "application/http;msgtype="
+            if revisit:
+                # where rows repeat, their payload's original has no id that can be told from here
+                refers = () if again else (f"WARC-Refers-To: {_name('capture', top, top_key, sha, '')}",)
+                response = _record("revisit", capture, head, f"{http}response", *named, f"WARC-Profile: {PROFILE}", *refers)
+            else:
+                response = _record("response", capture, head + body, f"{http}response", *named)
+            of_capture = (target, f"WARC-Concurrent-To: {capture}")
+            fields = f"page-id: {'' if page is None else page}{CRLF}refers-to-page-id: {top if revisit else ''}{CRLF}"
+            if "\r" in url or "\n" in url:
+                escaped = url.replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n")
+                fields += f"page-url: {escaped}{CRLF}"
+            request = _record("request", _name("request", *of), f"GET / HTTP/1.1{CRLF * 2}".encode(), f"{http}request", *of_capture)
+            metadata = _record("metadata", _name("metadata", *of), fields.encode("utf-8", "replace"), "application/warc-fields", *of_capture)
+            yield _SEPARATOR.join((request, response, metadata))
+
+
+def _files(captures: Iterator[bytes], file_bytes: int) -> Iterator[list]:
     """The text of an archive file from captures, one after the other."""
     held, size = [], 0
-    for b in batches:
-        for capture in b.column(0):
-            held.append(capture.as_buffer())
-            size += held[-1].size
-            if size >= file_bytes:
-                yield [pa.array([_SEPARATOR.join(held)], pa.binary()).cast(pa.string())]
-                held, size = [], 0
+    for capture in captures:
+        held.append(capture)
+        size += len(capture)
+        if size >= file_bytes:
+            yield [pa.array([_SEPARATOR.join(held)], pa.binary()).cast(pa.string())]
+            held, size = [], 0
     if held:
         yield [pa.array([_SEPARATOR.join(held)], pa.binary()).cast(pa.string())]
 
@@ -86,30 +104,10 @@ def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BY
     responses. Rows that repeat, wholly or in page_id and html, are a capture each; those with the largest
     page_id are all responses. Other columns, of whatever name, are not read. An empty table gives no captures.
     """
-    html, given = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), given.alias("url"), F.xxhash64(given).alias("url_key"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"))
-    revisit = F.coalesce((F.octet_length("html") >= least) & (F.col("top.page_id") != F.col("page_id")), F.lit(False))
-    # a row that another may repeat has the number of its place in the result in its ids
-    serial = F.when(F.col("again"), F.monotonically_increasing_id())
-    joined = rows.join(originals(rows), "digest", "left").withColumn("serial", serial).withColumn("revisit", revisit)
-    of = (F.col("page_id"), F.col("url_key"), F.col("digest"), F.col("serial"))
-    capture, digest, page = _name("capture", *of), F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
-    target = ("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
-    of_payload = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest))
-    # the original of a payload whose rows repeat has no id that can be told from here; its page_id is in the metadata
-    refers = F.when(~F.col("again"), F.concat(F.lit("WARC-Refers-To: "), _name("capture", F.col("top.page_id"), F.col("top.url_key"), digest, F.lit(None)), F.lit(CRLF))).otherwise(F.lit(""))
-    response = F.when(
-        F.col("revisit"), _record("revisit", capture, head, "application/http;msgtype=response", target, of_payload, ("WARC-Profile", F.lit(PROFILE)), more=refers)
-    ).otherwise(_record("response", capture, F.concat(head, F.col("html")), "application/http;msgtype=response", target, of_payload))
-    request = _record("request", _name("request", *of), F.lit(f"GET / HTTP/1.1{CRLF * 2}"), "application/http;msgtype=request", target, ("WARC-Concurrent-To", capture))
-    refers_page = F.when(F.col("revisit"), F.col("top.page_id").cast("string")).otherwise(F.lit(""))
-    escaped = F.replace(F.replace(F.replace(F.col("url"), F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
-    of_url = F.when(F.col("url").rlike("[\r\n]"), F.concat(F.lit("page-url: "), escaped, F.lit(CRLF))).otherwise(F.lit(""))
-    fields = F.concat(F.lit("page-id: "), page, F.lit(f"{CRLF}refers-to-page-id: "), refers_page, F.lit(CRLF), of_url)
-    metadata = _record("metadata", _name("metadata", *of), fields, "application/warc-fields", target, ("WARC-Concurrent-To", capture))
-    value = F.concat_ws(CRLF * 2, request, response, metadata)
-    archive = map_rows(joined.select(value.alias("value")), lambda batches: _files(batches, file_bytes), "value string")
+    html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.xxhash64(url).alias("url_key"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    joined = rows.join(originals(rows), "sha", "left").select("page_id", "url", "url_key", "html", "sha", F.col("top.page_id").alias("top_page"), F.col("top.url_key").alias("top_key"), "again")
+    archive = map_rows(joined, lambda batches: _files(_captures(batches, least), file_bytes), "value string")
     archive.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
