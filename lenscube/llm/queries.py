@@ -39,7 +39,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.against_next(load(spark, sf_dir, "documents"))
+    return sketch.report(sketch.against_next(load(spark, sf_dir, "documents")))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
