@@ -4,15 +4,18 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier (
 the same document). Every window of that length has one anchor, its least hashed k-gram; windows of one
 anchor in a row are a segment, and equal windows always lie in segments of equal anchors. So:
 
-1. anchors are counted in shards of the anchors' hashes; only segments whose anchor occurs again go on;
-2. the bytes of those segments go to shards by anchor, equal segments having been reduced to the earliest;
+1. anchors are counted in shards of the anchors' hashes; only segments whose anchor occurs again go on. Anchors
+   that occur twice in a slice of text need no count: their segments go on directly, spread over all tasks, and
+   the shard gets the anchor once a slice;
+2. the bytes of those segments go to shards by anchor, equal segments having been reduced to the earliest before
+   in every task, HELD bytes of them at a time;
 3. each shard, in blocks of bounded size, has its suffix array and common prefixes; runs of common prefixes
-   of ``length`` or more are the equal windows, and blocks of one shard meet by binary search in their
-   sorted windows. All windows but the earliest of each run are removed.
+   of ``length`` or more are the equal windows, and the sorted windows of one shard's blocks meet by binary search.
+   All windows but the earliest of each run are removed.
 
-The texts are shuffled once; that exchange serves the segments and the result. A shard is one pandas group:
-what a single hot anchor brings (each occurrence in step 1, an equal segment once a slice in step 2) is held by
-one task, so its memory grows with the corpus.
+The texts are shuffled once; that exchange serves the segments and the result. A shard is one pandas group: what
+one hot anchor brings is held by one task. That is 24 bytes a slice in step 1 and, in step 2, each segment
+that differs in a byte once, and equal ones once a task.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ from lenscube.llm.suffix import _packed, common_prefixes, suffix_array
 GRAM = 24
 #: Bytes of text in a slice, of segments in a suffix array, and aimed at in a shard.
 SLICE, BLOCK, SHARD = 2 << 20, 3 << 20, 6 << 20
+#: Bytes of segments that a task holds before it sends them; windows that are compared at a time.
+HELD, AT_ONCE = 24 << 20, 1 << 16
+#: A segment in one number: shard, start and number of windows.
+SHARD_BITS, START_BITS, COUNT_BITS = 25, 31, 7
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-ANCHORS = "shard int, repeated int, hash binary, uid binary, at binary"
+ANCHORS = "shard int, hash binary, uid binary, at binary"
 SEGMENTS = "shard int, data binary, size binary, doc binary, uid binary, start binary, removed binary"
 SPANS = "uid long, doc long, span long"
 KEPT = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -90,62 +97,75 @@ def _anchors(batches: Iterable[pa.RecordBatch], shards: int, length: int) -> Ite
             continue
         start = first - (ends - sizes)[doc]
         shard = (h % np.uint64(shards)).astype(np.int64)
-        _, back, often = np.unique(h, return_inverse=True, return_counts=True)
-        again = (often[back] > 1).astype(np.int64)
-        span = shard << 44 | start << 7 | count
-        order = np.argsort(shard * 2 + again, kind="stable")
-        group = (shard * 2 + again)[order]
-        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
-        rows = [[], [], [], [], []]
-        for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = order[a:e]
-            for column, x in zip(rows, (int(group[a]) // 2, int(group[a]) % 2, h[own].tobytes(), uid[own_doc := doc[own]].tobytes(), span[own].tobytes()), strict=True):
+        span = shard << START_BITS + COUNT_BITS | start << COUNT_BITS | count
+        _, lead, back, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        again = often[back] > 1
+        direct = np.flatnonzero(again)  # needs no count, so any task will do
+        to = shards + int(h[0] % np.uint64(shards))
+        told = lead[often > 1]
+        single = np.flatnonzero(~again)
+        rows: list[list] = [[], [], [], []]
+
+        def send(shard_: int, hashes: np.ndarray, own: np.ndarray) -> None:
+            for column, x in zip(rows, (shard_, hashes.tobytes(), uid[doc[own]].tobytes(), span[own].tobytes()), strict=True):  # noqa: B023
                 column.append(x)
-            del own_doc
+
+        if len(direct):
+            send(to, np.zeros(0, np.uint64), direct)
+        for own, bare in ((single, False), (told, True)):
+            own = own[np.argsort(shard[own], kind="stable")]
+            edges = np.append(np.flatnonzero(np.diff(shard[own], prepend=-1)), len(own))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                send(int(shard[own[x]]), h[own[x:y]], own[:0] if bare else own[x:y])
         yield rows
 
 
 def _repeated(group: pd.DataFrame) -> pd.DataFrame:
-    """(uid, span) of the segments of one shard whose anchor occurs more than once."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hash"]])
-    _, back, often = np.unique(h, return_inverse=True, return_counts=True)
-    keep = often[back] > 1
+    """(uid, span) of a shard's segments whose anchor occurs more than once.
+
+    Rows have hashes with spans (anchors that are single in their slice), hashes alone (ones that are not) or
+    spans alone (the latter's segments).
+    """
     uid, at = (np.concatenate([np.frombuffer(x, np.int64) for x in group[c]]) for c in ("uid", "at"))
+    with_span = [bool(len(a)) for a in group["at"]]
+    alone = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x, w in zip(group["hash"], with_span, strict=True) if not w)])
+    single = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x, w in zip(group["hash"], with_span, strict=True) if w)])
+    counted = np.concatenate([np.full(len(a) // 8, bool(len(x))) for x, a in zip(group["hash"], group["at"], strict=True)])
+    _, back, often = np.unique(single, return_inverse=True, return_counts=True)
+    keep = np.ones(len(at), bool)
+    keep[counted] = (often[back] > 1) | np.isin(single, alone) if len(single) else False
     return pd.DataFrame({"uid": uid[keep], "at": at[keep]})
 
 
-def _segment_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[list]:
-    """Bytes of the wanted segments by shard; equal ones of a slice are reduced to the earliest."""
-    for b in slices(batches, SLICE):
-        docs, uids, wanted = b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(3).to_pylist()
-        seen: dict[bytes, tuple] = {}
-        more: list[tuple] = []
-        gone: list[tuple[int, int, int, int]] = []
-        for doc, uid, text, spans in zip(docs, uids, b.column(1).to_pylist(), wanted, strict=True):
-            if not spans:
-                continue
-            raw = (text or "").encode("utf-8", "replace")
-            for v in spans:
-                start, count = v >> 7 & (1 << 37) - 1, v & 127
-                part = raw[start : start + count - 1 + length]
-                if len(part) != count - 1 + length:
-                    continue  # another document of the same uid
-                mine, known = (doc, start, uid, v >> 44), seen.get(part)
-                if known is None:
-                    seen[part] = mine
-                elif mine[:2] == known[:2]:
-                    more.append((part, mine))
-                else:
-                    early, late = (mine, known) if mine[:2] < known[:2] else (known, mine)
-                    seen[part] = early
-                    gone.append((late[3], late[0], late[2], late[1] << 8 | len(part)))
+class _Held:
+    """Wanted segments of a task, equal ones reduced to the earliest."""
+
+    def __init__(self):
+        self.seen: dict[bytes, tuple] = {}
+        self.more: list[tuple] = []
+        self.gone: list[tuple[int, int, int, int]] = []
+        self.size = 0
+
+    def add(self, part: bytes, mine: tuple) -> None:
+        known = self.seen.get(part)
+        if known is None:
+            self.seen[part] = mine
+            self.size += len(part)
+        elif mine[:2] == known[:2]:
+            self.more.append((part, mine))
+        else:
+            early, late = (mine, known) if mine[:2] < known[:2] else (known, mine)
+            self.seen[part] = early
+            self.gone.append((late[3], late[0], late[2], late[1] << 8 | len(part)))
+
+    def rows(self) -> list[list]:
         by_shard: dict[int, list] = {}
-        for part, (doc, start, uid, shard) in [*seen.items(), *more]:
+        for part, (doc, start, uid, shard) in [*self.seen.items(), *self.more]:
             by_shard.setdefault(shard, []).append((part, doc, uid, start))
         removed: dict[int, list] = {}
-        for shard, doc, uid, v in gone:
+        for shard, doc, uid, v in self.gone:
             removed.setdefault(shard, []).append((uid, doc, v))
-        rows = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(7)]
         for shard in by_shard.keys() | removed.keys():
             own = by_shard.get(shard, [])
             parts = [x[0] for x in own]
@@ -153,62 +173,143 @@ def _segment_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[li
             values = (shard, b"".join(parts), np.array([len(x) for x in parts], np.int32).tobytes(), number(1), number(2), number(3), np.array(removed.get(shard, []), np.int64).tobytes())
             for column, x in zip(rows, values, strict=True):
                 column.append(x)
-        if rows[0]:
-            yield rows
+        return rows
 
 
-def _windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, offset, run, place in the joined parts) of each window; equal windows have the same run, runs ascend."""
+def _segment_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[list]:
+    """Bytes of the wanted segments by shard."""
+    held = _Held()
+    for b in slices(batches, SLICE):
+        docs, uids, wanted = b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(3).to_pylist()
+        for doc, uid, text, spans in zip(docs, uids, b.column(1).to_pylist(), wanted, strict=True):
+            if not spans:
+                continue
+            raw = (text or "").encode("utf-8", "replace")
+            for v in spans:
+                start, count = v >> COUNT_BITS & (1 << START_BITS) - 1, v & (1 << COUNT_BITS) - 1
+                part = raw[start : start + count - 1 + length]
+                if len(part) == count - 1 + length:  # else another document of the same uid
+                    held.add(part, (doc, start, uid, v >> START_BITS + COUNT_BITS))
+        if held.size + 32 * len(held.gone) > HELD:
+            yield held.rows()
+            held = _Held()
+    if held.seen:
+        yield held.rows()
+
+
+def _windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, first place) of a block: for each window the rank of its text, and for each rank where the joined parts have it."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
-    ends = np.cumsum(sizes)
     order = suffix_array(data)
-    run = np.empty(len(data), np.int64)
-    run[order] = np.cumsum(common_prefixes(data, order, length) < length)
+    rank = np.empty(len(data), np.int64)
+    rank[order] = np.cumsum(common_prefixes(data, order, length) < length)
+    del order
     counts = sizes - length + 1
-    segment = np.repeat(np.arange(len(parts)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = (ends - sizes)[segment] + offset
-    return segment, offset, run[place], place
+    place = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts)
+    _, first, run = np.unique(rank[place], return_index=True, return_inverse=True)
+    return run.astype(np.int32), place[first].astype(np.int32)
 
 
-def _sorted_strings(parts: list[bytes], runs: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct windows of a block in order, and their runs."""
-    values, first = np.unique(runs, return_index=True)
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    table = np.lib.stride_tricks.sliding_window_view(data, length)[place[first]]
-    return np.ascontiguousarray(table).view(f"S{length}").ravel(), values
+def _hashes(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """32 bits of a hash of each window."""
+    words = _packed(data, little=True)
+    h = np.zeros(len(place), np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ words[place + k]) * _C1
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _in_two(blocks: list[np.ndarray]) -> np.ndarray:
+    """Hashes that occur twice, ascending; a sixteenth of them at a time."""
+    found = []
+    for top in range(16):
+        part = np.sort(np.concatenate([h[h >> np.uint32(28) == top] for h in blocks]))
+        found.append(np.unique(part[1:][part[1:] == part[:-1]]))
+    return np.concatenate(found)
+
+
+def _located(data: np.ndarray, asked: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """For each asked window its index among the ascending windows at ``places``, -1 if it isn't there; by binary search."""
+    table = np.lib.stride_tricks.sliding_window_view(data, length)
+
+    def words(at: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(at), -(-length // 8) * 8), np.uint8)
+        wide[:, :length] = table[at]
+        return wide.view(">u8").astype(np.uint64)
+
+    out = np.full(len(asked), -1, np.int64)
+    for begin in range(0, len(asked), AT_ONCE):
+        own = words(asked[begin : begin + AT_ONCE])
+        row = np.arange(len(own))
+        low, high = np.zeros(len(own), np.int64), np.full(len(own), len(places), np.int64)
+        while (low < high).any():
+            middle = np.minimum((low + high) // 2, len(places) - 1)
+            there = words(places[middle])
+            differ = there != own
+            k = differ.argmax(axis=1)
+            less = there[row, k] < own[row, k]
+            open_ = low < high
+            same = open_ & ~differ.any(axis=1)
+            out[begin : begin + AT_ONCE][same] = middle[same]
+            low = np.where(same, high, np.where(open_ & less, middle + 1, low))
+            high = np.where(open_ & ~less & ~same, middle, high)
+    return out
 
 
 def removals(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of the windows that also start earlier, among distinct segments of one shard."""
+    """(segment, offset) of the windows that also start earlier, among distinct segments of one shard.
+
+    Each block of ``block`` bytes gives its distinct windows in order. Windows of two blocks whose hashes are
+    equal are looked up by binary search, comparing the texts themselves; equal ones take the earlier block's run.
+    Some twelve bytes a window are held, beside one block's suffix array.
+    """
+    empty = np.zeros(0, np.int64)
+    if not parts:
+        return empty, empty
+    data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
-    number = np.cumsum(sizes) // block if len(parts) else sizes
-    found, strings, base = [], [], 0
-    for k in np.unique(number):
-        own = np.flatnonzero(number == k)
-        texts = [parts[i] for i in own]
-        segment, offset, run, place = _windows(texts, length)
-        found.append([own[segment], offset, run + base])
-        if number[-1] > number[0]:
-            text, runs = _sorted_strings(texts, run, place, length)
-            strings.append((text, runs + base))
-        base += int(run.max()) + 1 if len(run) else 0
-    if len(strings) > 1:  # equal windows of two blocks get the earlier block's run
-        to = np.arange(base)
-        for j, (text, runs) in enumerate(strings):
-            for earlier, their in strings[:j]:
-                at = np.minimum(np.searchsorted(earlier, text), len(earlier) - 1)
-                same = (earlier[at] == text) & (to[runs] == runs)
-                to[runs[same]] = to[their[at[same]]]
-        for f in found:
-            f[2] = to[f[2]]
-    segment, offset, run = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    begins, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+    edges = np.append(np.flatnonzero(np.diff(np.cumsum(sizes) // block, prepend=-1)), len(parts))
+    runs, firsts, hashes, bases, total = [], [], [], [], 0
+    for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        run, first = _windows(parts[a:e], length)
+        at = int(begins[a])
+        if len(edges) > 2:
+            hashes.append(_hashes(data[at : at + int(sizes[a:e].sum())], first, length))
+        runs.append(run), bases.append(total), firsts.append(first.astype(np.int64) + at if len(data) >> 31 else first + np.int32(at))
+        total += len(first)
+    to = np.arange(total, dtype=np.int32 if total >> 31 == 0 else np.int64)
+    if hashes:
+        shared = _in_two(hashes)
+        own = [np.flatnonzero(shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h) if len(shared) else empty for h in hashes]
+        del hashes
+        for j in range(len(own)):
+            left = own[j]
+            for i in range(j):
+                if len(left) and len(own[i]):
+                    at = _located(data, firsts[j][left], firsts[i][own[i]], length)
+                    hit = at >= 0
+                    to[bases[j] + left[hit]] = to[bases[i] + own[i][at[hit]]]
+                    left = left[~hit]
+    run = np.concatenate([to[base + r] for base, r in zip(bases, runs, strict=True)])
+    del runs, firsts, to
+    first = np.full(total, -1, np.int32 if len(run) >> 31 == 0 else np.int64)
+    first[run[::-1]] = np.arange(len(run), dtype=first.dtype)[::-1]
+    often = np.zeros(total, bool)
+    often[run[first[run] != np.arange(len(run), dtype=first.dtype)]] = True
+    del first
+    window = np.flatnonzero(often[run])
+    run = run[window]
+    ends = np.cumsum(counts)
+    segment = np.searchsorted(ends, window, side="right")
+    offset = window - (ends - counts)[segment]
     d, s = doc[segment], start[segment] + offset
     order = np.lexsort((s, d, run))
     r, d, s = run[order], d[order], s[order]
     new = np.concatenate(([True], r[1:] != r[:-1]))[: len(r)]
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(r) else np.zeros(0, np.int64)
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(r) else empty
     gone = order[(d != d[lead]) | (s != s[lead])]
     return segment[gone], offset[gone]
 
@@ -270,14 +371,18 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     A null text is empty. Rows that repeat a doc_id are the same document: at equal starts neither is
     earlier. A null doc_id comes after all others. Texts are taken as UTF-8; matches never cross documents.
-    ``length`` is from 32 to 127; an empty table gives no rows.
+    ``length`` is from 32 to 127, else a ValueError is raised; an empty table gives no rows. Other columns, of
+    whatever name, are not read; texts have less than 2 GB, as Spark's strings do.
     """
+    if not 32 <= length < 1 << COUNT_BITS:
+        raise ValueError(f"length is {length}, not 32 to 127")
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
     rows = rows.select(F.xxhash64("key", "text").alias("uid"), "text", "key", "doc_id")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, min(-(-total // SHARD), (1 << 18) - 1))
+    # 2 ** 25 shards of SHARD bytes are 200 TB; over that, shards hold more
+    shards = max(1, min(-(-total // SHARD), (1 << SHARD_BITS) - 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     anchors = map_rows(rows.select("uid", "text"), lambda b: _anchors(b, shards, length), ANCHORS)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lenscube.llm import repeats, suffix
@@ -50,6 +52,38 @@ def test_blocks_of_a_shard_meet_by_binary_search():
     assert whole == set(zip(*(x.tolist() for x in repeats.removals(parts, doc, start, 100, block=500))))
 
 
+def test_memory_of_a_large_shard_is_bounded():
+    r = np.random.default_rng(2)
+    n = 30_000
+    parts = [x.tobytes() for x in r.integers(97, 123, (n, 176), dtype=np.uint8)]
+    for k in range(0, 200, 2):  # windows that two blocks share
+        parts[n - 1 - k] = parts[k][30:] + parts[n - 1 - k][:30]
+    tracemalloc.start()
+    segment, offset = repeats.removals(parts, np.arange(n), np.zeros(n, np.int64), 100, block=1 << 20)
+    assert tracemalloc.get_traced_memory()[1] < 30 * 176 * n
+    tracemalloc.stop()
+    assert sorted(zip(segment.tolist(), offset.tolist())) == sorted((n - 1 - k, o) for k in range(0, 200, 2) for o in range(47))
+
+
+def test_a_passage_in_a_third_of_the_rows(spark):
+    r = random.Random(11)
+    passage = " ".join(str(r.random()) for _ in range(12))
+    rows = [(i, f"{r.random()} " + (passage + f" {r.random()}" if i % 3 == 0 else "")) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    batches = [pa.RecordBatch.from_pydict({"uid": [i for i, _ in rows], "text": [t for _, t in rows]})]
+    sent = list(repeats._anchors(batches, 3, 100))
+    counted = sum(len(h) // 8 for columns in sent for h in columns[1])
+    spans = sum(len(x) // 8 for columns in sent for x in columns[3])
+    assert spans > 20_000 and counted < spans / 4  # a hot anchor goes to its shard once a slice
+    got = {x.doc_id: x.n_removed for x in repeats.report(repeats.remove_repeats(df)).collect()}
+    assert got[0] == 0 and all((got[i] >= len(passage)) == (i % 3 == 0) for i in range(1, 20_000))
+
+
+def test_length_is_checked(spark):
+    with pytest.raises(ValueError, match="32 to 127"):
+        repeats.remove_repeats(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 128)
+
+
 def test_long_texts_are_cut_into_the_same_windows():
     r = np.random.default_rng(5)
     data, ends = r.integers(97, 100, 3000).astype(np.uint8), np.array([10, 1500, 1500, 3000])
