@@ -1,10 +1,12 @@
 """Secret scans with a randomness test battery, in DataFrame functions only.
 
-Three base patterns are found as given. Besides, long tokens of letters and digits are tested: the encoding
-is inferred from the letters that occur, and over its alphabet the token must pass a chi-squared test of
-uniformity, a runs test and a test of serial correlation. How likely ordinary text of that length would look
-as uniform gives a p-value; Benjamini-Hochberg within each class of lengths, over all documents, bounds the
-share of false discoveries. The counts for that are a histogram of fixed size.
+Three base patterns are found as given. Besides, long tokens with a letter and a digit are tested: the encoding
+is inferred from the letters that occur, and over its alphabet three statistics are taken: chi-squared against
+uniformity, runs of the alphabet's classes (capitals, small letters, digits) and the serial correlation of the
+letters' codes. The hypothesis is that the token is ordinary: built of words, numbers and marks, with letters that repeat,
+classes that change seldom and codes that hang together. Each statistic gives a z under it, low where the
+token looks random, and their sum a p-value. Benjamini-Hochberg within each class of lengths, over every
+tested token of all documents, bounds the share of false discoveries. The counts for that are a histogram of fixed size.
 """
 
 from __future__ import annotations
@@ -33,8 +35,13 @@ ALPHABETS = (
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
-#: Chance that two letters of ordinary text are equal; the largest |z| of a passed test; the false-discovery rate.
-SAME, MOST_Z, RATE = 0.066, 4.0, 0.01
+#: Ordinary tokens: chance that two letters are equal and that the class changes from one letter to the next, and
+#: serial correlation. Variance of the runs over a binomial's, correlation of the three z; the false-discovery rate.
+SAME, CHANGE, ALONG, SPREAD, TIED, RATE = 0.05, 0.16, 0.15, 1.5, 0.3, 0.01
+#: Characters of a class of lengths, and classes at most.
+CLASS, CLASSES = 8, 16
+#: Hits whose spans are gathered in one array.
+RUN = 128
 #: Buckets of a p-value: a twentieth of a power of ten each, this many at most.
 PER_TEN, BUCKETS = 20, 200
 
@@ -57,6 +64,11 @@ def _found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1
     )
 
     def spans(x: Column) -> Column:
+        def chunk(acc: Column, k: Column) -> Column:  # arrays of RUN hits, so that no long array is copied for every hit
+            last = F.least((k + 1) * RUN, F.size(x["hits"])) - 1
+            one = F.aggregate(F.sequence(k * RUN, last), F.struct(acc["at"].alias("at"), _none().alias("out")), step)
+            return _let(one, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))
+
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(x["between"][i])
             end = start + F.length(x["hits"][i])
@@ -64,7 +76,8 @@ def _found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1
             kept = F.when(F.length(x["groups"][i]) >= least, one).otherwise(_none()) if group else one
             return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda a: a["out"])
+        chunks = F.sequence(F.lit(0), F.floor((F.size(x["hits"]) - 1) / RUN).cast("int"))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), chunk, lambda a: F.flatten(a["out"]))
 
     return F.when(text.rlike(pattern), _let(value, spans)).otherwise(_none())
 
@@ -74,42 +87,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_found(text, "assign", ASSIGN, 1, ASSIGN_LEAST), _found(text, "access", ACCESS), _found(text, "hex", HEX)))
 
 
+def _classes(x: Column) -> Column:
+    """The class of each letter: 0 capital, 1 small letter, 2 digit, 3 mark."""
+    return F.transform(x, lambda c: F.when(c.between("A", "Z"), 0).when(c.between("a", "z"), 1).when(c.between("0", "9"), 2).otherwise(3))
+
+
+def _following(values: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of each value and the next."""
+    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), body)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
 def _battery(token: Column) -> Column:
-    """struct(size class, bucket of the p-value) of a token; bucket -1 where a test rejects randomness."""
+    """struct(size class, bucket of the combined p-value) of a token."""
     alphabet = F.when(token.rlike(ALPHABETS[0][0]), F.lit(ALPHABETS[0][1]))
     for pattern, letters in ALPHABETS[1:]:
         alphabet = alphabet.when(token.rlike(pattern), F.lit(letters)) if pattern else alphabet.otherwise(F.lit(letters))
 
     def tests(x: Column) -> Column:
         n, k, codes = F.size(x["codes"]).cast("double"), x["k"], x["codes"]
-        mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-        squares = F.aggregate(x["counts"], F.lit(0.0), lambda a, c: a + c * c)
-        pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        high = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.when(c * 2 >= k, 1.0).otherwise(0.0))
-        return _let(
-            F.struct(
-                (squares * k / n - n).alias("chi"), mean.alias("mean"), high.alias("high"), pairs.alias("pairs"),
-            ),
-            lambda y: _verdict(x, y, n, k),
+        changes = _total(_following(_classes(x["letters"]), lambda a, b: (a != b).cast("double")))
+        values = F.struct(
+            n.alias("n"), k.alias("k"), codes.alias("codes"), (_total(codes) / n).alias("mean"), changes.alias("changes"),
+            (_total(F.transform(x["counts"], lambda c: c * c)) * k / n - n).alias("chi"),
         )
-
-    def _verdict(x: Column, y: Column, n: Column, k: Column) -> Column:
-        changes = F.aggregate(y["pairs"], F.lit(0.0), lambda a, p: a + F.when((p["a"] * 2 >= k) != (p["b"] * 2 >= k), 1.0).otherwise(0.0))
-        low = n - y["high"]
-        expected = 2 * y["high"] * low / n + 1
-        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-        z_runs = (changes + 1 - expected) / spread
-        around = F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + (c - y["mean"]) * (c - y["mean"]))
-        along = F.aggregate(y["pairs"], F.lit(0.0), lambda a, p: a + (p["a"] - y["mean"]) * (p["b"] - y["mean"]))
-        z_serial = along / F.greatest(around, F.lit(1e-9)) * F.sqrt(n)
-        z_chi = (y["chi"] - (k - 1)) / F.sqrt(2 * (k - 1))
-        excess = n * F.greatest(k * SAME - 1, F.lit(0.6))  # what ordinary text adds to chi-squared
-        z = (y["chi"] - (k - 1) - excess) / F.sqrt(2 * (k - 1) + 4 * excess)
+        return _let(values, verdict)
+
+    def verdict(y: Column) -> Column:
+        n, k, mean = y["n"], y["k"], y["mean"]
+        around = _total(F.transform(y["codes"], lambda c: (c - mean) * (c - mean)))
+        along = _total(_following(y["codes"], lambda a, b: (a - mean) * (b - mean)))
+        excess = n * F.greatest(k * SAME - 1, F.lit(0.6))  # what ordinary letters add to chi-squared
+        z_chi = (y["chi"] - (k - 1) - excess) / F.sqrt(2 * (k - 1) + 4 * excess)
+        # classes that change at nearly every letter are no more random than ones that seldom do
+        often = F.when(y["changes"] > 0.85 * (n - 1), (n - 1) - y["changes"]).otherwise(y["changes"])
+        z_runs = ((n - 1) * CHANGE - often + 0.5) / F.sqrt((n - 1) * (CHANGE * (1 - CHANGE) * SPREAD))
+        z_serial = (F.abs(along / F.greatest(around, F.lit(1e-9))) - ALONG) * F.sqrt(n)
+        z = (z_chi + z_runs + z_serial) / (3 + 6 * TIED) ** 0.5
         z = F.greatest(F.least(z, F.lit(6.0)), F.lit(-6.0))
         log_p = -F.log1p(F.exp(-(1.5976 * z + 0.07056 * z * z * z))) / F.log(F.lit(10.0))
-        passed = (z_chi < MOST_Z) & (F.abs(z_runs) < MOST_Z) & (F.abs(z_serial) < MOST_Z)
         bucket = F.least(F.floor(-log_p * PER_TEN).cast("int"), F.lit(BUCKETS))
-        return F.struct(F.floor(F.log2(n)).cast("int").alias("size"), F.when(passed, bucket).otherwise(-1).alias("bucket"))
+        return F.struct(F.least(F.floor(n / CLASS), F.lit(CLASSES)).cast("int").alias("size"), bucket.alias("bucket"))
 
     letters = F.filter(F.split(token, ""), lambda c: c != "")
     value = F.struct(letters.alias("letters"), alphabet.alias("alphabet"))
@@ -117,6 +138,7 @@ def _battery(token: Column) -> Column:
         value,
         lambda x: _let(
             F.struct(
+                x["letters"].alias("letters"),
                 F.transform(x["letters"], lambda c: (F.position(c, x["alphabet"]) - 1).cast("double")).alias("codes"),
                 F.transform(F.array_distinct(x["letters"]), lambda d: F.size(F.filter(x["letters"], lambda c: c == d)).cast("double")).alias("counts"),
                 F.length(x["alphabet"]).cast("double").alias("k"),
@@ -127,14 +149,13 @@ def _battery(token: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<span, test>> of the tokens that have a letter and a digit."""
+    """array<struct<span, test>> of every token that has a letter and a digit, whatever its tests say."""
     spans = _found(text, "random", TOKEN)
     mixed = F.filter(
         F.transform(spans, lambda s: F.struct(s.alias("span"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token"))),
         lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]"),
     )
-    tested = F.transform(mixed, lambda c: F.struct(c["span"].alias("span"), _battery(c["token"]).alias("test")))
-    return F.filter(tested, lambda c: c["test"]["bucket"] >= 0)
+    return F.transform(mixed, lambda c: F.struct(c["span"].alias("span"), _battery(c["token"]).alias("test")))
 
 
 def cuts(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -159,7 +180,8 @@ def _added(base: Column, tested: Column, least: dict[int, int]) -> Column:
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind_no, end, kind) of every row; nulls are empty texts.
 
-    Rows that repeat a doc_id are scanned each by itself. One pass over the texts; its spans are kept in the
+    Rows that repeat a doc_id are scanned each by itself; a null doc_id stays null; an empty table gives no rows;
+    other columns, of whatever name, are not read. A text of any length is scanned whole. One pass over the texts; its spans are kept in the
     shared folder while the false-discovery cuts are drawn from all of them.
     """
     text = F.coalesce("text", F.lit(""))
@@ -183,21 +205,27 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataFrame:
-    """The documents with every found span replaced by ``mark``; all columns and all other text stay."""
-    text = F.coalesce("text", F.lit(""))
-    least = cuts(docs.select(candidates(text).alias("candidates")), rate)
+    """The documents with every found span replaced by ``mark``; all columns, of whatever name, and all other text stay.
 
-    def covered(x: Column) -> Column:
-        return F.array_sort(F.concat(x["base"], _added(x["base"], x["candidates"], least)))
+    Null texts stay null; rows that repeat are each by itself; an empty table gives no rows. One pass over the
+    texts, which are kept with their spans in the shared folder while the false-discovery cuts are drawn.
+    """
+    of = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    first = cut(docs.select(whole, base_spans(of).alias("base"), candidates(of).alias("candidates")))
+    least = cuts(first, rate)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    spans = F.array_sort(F.concat("base", _added(F.col("base"), F.col("candidates"), least)))
 
-    def rebuilt(spans: Column) -> Column:
+    def rebuilt(found: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
             fresh = s["start"] >= acc["at"]
             gap = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-        whole = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return F.aggregate(spans, whole, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(found, none, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
-    found = _let(_let(F.struct(base_spans(text).alias("base"), candidates(text).alias("candidates")), covered), lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("text")))
-    return docs.withColumn("text", F.when(F.col("text").isNotNull(), found))
+    cleared = _let(spans, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("row.text")))
+    columns = [F.when(F.col("row.text").isNotNull(), cleared).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return first.select(*columns)
