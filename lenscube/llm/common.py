@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,23 +17,74 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders under the shared one that this process has written and not yet removed.
+_written: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (tests) gets a temporary one; on a cluster executors could not
+    see that, so a RuntimeError is raised there.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="lenscube-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path under the shared folder; ``release`` removes it."""
+    _written.append(f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any longer."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that the operators have kept in the shared folder; call it when their results have been read."""
+    for path in list(_written):
+        remove(spark, path)
+
+
+def _checkpoint_of(df: DataFrame) -> str:
+    return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once into the shared checkpoint folder; what follows reads it from there.
 
-    A lost executor costs only its running tasks: the rows are on shared storage, and Spark's cleaner
-    removes them when nothing refers to them any longer.
+    A lost executor costs only its running tasks: the rows are on shared storage. They stay until ``release``, or
+    until Spark's cleaner takes them (``spark.cleaner.referenceTracking.cleanCheckpoints``, off by default).
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    _written.append(_checkpoint_of(kept))
+    return kept
+
+
+def forget(df: DataFrame) -> None:
+    """Removes what ``cut`` keeps of ``df``, which nothing may read any longer."""
+    remove(df.sparkSession, _checkpoint_of(df))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df``, of whatever names, as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    """The columns of a struct that ``whole_row`` made."""
+    return [F.col(f"{row}.`{c}`") for c in names]
 
 
 def docs_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

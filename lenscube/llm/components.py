@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lenscube.llm.common import cut
+from lenscube.llm.common import cut, forget
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u long, v long): the smallest node it reaches.
 
     Each round is two aggregations and two joins over at most as many edges as there were; the number of
-    rounds grows with the logarithm of the longest path. Only a count and a checksum come to the driver.
+    rounds grows with the logarithm of the longest path. Only a count and a checksum come to the driver, and
+    only the last round's edges stay in the shared folder.
     """
     edges = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _sum(edges)
@@ -29,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour, and the node, go to the smallest one
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         new = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        edges = cut(new.where("u != v").distinct())
+        last, edges = edges, cut(new.where("u != v").distinct())
+        forget(last)
         after = _sum(edges)
         if after == before:
             break

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lenscube.llm.common import cut, docs_of
+from lenscube.llm.common import columns_of, cut, docs_of, whole_row
 
 # The patterns of the contract, the shortest match (of group 1 where there is one) and the order of kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -211,8 +211,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataF
     texts, which are kept with their spans in the shared folder while the false-discovery cuts are drawn.
     """
     of = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    first = cut(docs.select(whole, base_spans(of).alias("base"), candidates(of).alias("candidates")))
+    first = cut(docs.select(whole_row(docs).alias("row"), base_spans(of).alias("base"), candidates(of).alias("candidates")))
     least = cuts(first, rate)
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     spans = F.array_sort(F.concat("base", _added(F.col("base"), F.col("candidates"), least)))
@@ -227,5 +226,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataF
         return F.aggregate(found, none, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
     cleared = _let(spans, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("row.text")))
-    columns = [F.when(F.col("row.text").isNotNull(), cleared).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
-    return first.select(*columns)
+    columns = dict(zip(docs.columns, columns_of("row", docs.columns), strict=True))
+    return first.select(*(columns | {"text": F.when(F.col("row.text").isNotNull(), cleared).alias("text")}).values())

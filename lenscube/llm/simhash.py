@@ -1,27 +1,32 @@
 """Near-duplicates by SimHash and tiled exact comparison.
 
-Equal fingerprints are one node. Fingerprints that differ in at most r bits agree on two at least of r + 2
-blocks, so nodes meet by pairs of blocks: each such group is compared whole, in tiles sorted by population
-count, by exclusive-or and bit counts; tile pairs whose population counts differ by more than r are passed
-over. No pair within the radius is lost. A group yields the edges of a spanning forest, never all pairs.
+Equal fingerprints are one node. Nodes meet in groups of about GROUP, and there tiles of them, sorted by population
+count, are compared whole by exclusive-or and bit counts; tile pairs whose population counts differ by more
+than the radius are passed over. A group is the fingerprints that agree on some bits (``masks``: two within the
+radius agree on the bits of one mask at least) and whose population counts lie in one band or the next, so that
+no pair within the radius is lost. A group over SPLIT nodes is dealt to a task for each pair of its parts. A
+task yields the edges of a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lenscube.llm.common import cut, docs_of, map_rows, slices
+from lenscube.llm.common import columns_of, cut, map_rows, slices, whole_row
 from lenscube.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-TILE = 2048
+#: Fingerprints of a tile, aimed at in a group, and of a part of a group at most.
+TILE, GROUP, SPLIT = 256, 1024, 16384
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -42,133 +47,219 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, bits long): the fingerprint's 64 bits as a signed number. A null text has no words."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, **more: Column) -> DataFrame:
+    """(doc_id, bits long): the fingerprint's 64 bits as a signed number; ``more`` are long columns to go with it.
+
+    A null text has no words.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in more.items()])
+    extra = len(more)
 
     def run(batches):
         for b in slices(batches, 8 << 20):
             values = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield [b.column(0).to_pylist(), values.view(np.int64)]
+            yield [b.column(0), values.view(np.int64), *(b.column(2 + k) for k in range(extra))]
+
+    return map_rows(rows, run, ", ".join(["doc_id long, bits long", *(f"{n} long" for n in more)]))
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x ^ np.uint64(seed * 0x165667B19E3779F9 % (1 << 64))) * _MIX
+    return (x ^ (x >> np.uint64(31))) * _ODD
 
-    return map_rows(docs_of(docs), run, "doc_id long, bits long")
 
+def masks(n: int, radius: int, group: int = GROUP) -> list[int]:
+    """Masks of bits for groups of about ``group`` of ``n`` fingerprints.
+
+    Of radius + m blocks of the 64 bits, two fingerprints within the radius agree on m at least; a mask has some
+    bits of m blocks each. m is the least that gives enough bits. Few fingerprints are one group.
+    """
+    bits = max(0, (n - 1) // group).bit_length()
+    if not bits:
+        return [0]
+    for m in range(1, 65 - radius):
+        edges = [64 * k // (radius + m) for k in range(radius + m + 1)]
+        each = -(-bits // m)
+        if min(b - a for a, b in itertools.pairwise(edges)) >= each:
+            break
+    else:
+        m, each = 64 - radius, 1
+    blocks = [((1 << each) - 1) << a for a in edges[:-1]]
+    return [sum(c) for c in itertools.combinations(blocks, m)]
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 2 blocks of the 64 bits."""
-    edges = [64 * k // (radius + 2) for k in range(radius + 3)]
-    return [(a, (1 << (b - a)) - 1) for a, b in itertools.pairwise(edges)]
 
+def keys(bits: np.ndarray, radius: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each fingerprint's own group, and of the one below, whose band of population counts is one less."""
+    band = np.bitwise_count(bits).astype(np.uint64) // np.uint64(radius + 1)
+    group = _mixed(bits & np.uint64(mask), mask % 1_000_003 + 1)
+    return _mixed(group + band, 7), _mixed(group + band - np.uint64(1), 7)
 
-def keys(bits: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """A key for each pair of blocks: equal in two fingerprints within the radius for one pair at least."""
-    parts = [(bits >> np.uint64(s)) & np.uint64(m) for s, m in _blocks(radius)]
-    for k, (a, b) in enumerate(itertools.combinations(range(radius + 2), 2)):
-        yield (np.uint64(k) << np.uint64(56)) | (parts[a] << np.uint64(28)) | parts[b]
 
+class Forest:
+    """A spanning forest of all pairs within the radius that are compared, by tiles."""
 
-def forest(bits: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of all pairs within the radius, by tiles."""
-    count = np.bitwise_count(bits)
-    order = np.argsort(count, kind="stable")
-    bits, count, n = bits[order], count[order].astype(np.int64), len(bits)
-    root = np.arange(n)
+    def __init__(self, bits: np.ndarray, radius: int, tile: int = TILE):
+        self.bits, self.radius, self.tile = bits, radius, tile
+        self.count, self.root = np.bitwise_count(bits).astype(np.int64), np.arange(len(bits))
+        self.edges: list[tuple[int, int]] = []
+        self.compared = self.skipped = 0
 
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return int(i)
 
-    edges = []
-    for a in range(0, n, tile):
-        for b in range(a, n, tile):
-            if count[b] - count[min(a + tile, n) - 1] > radius:  # population counts ascend
-                break
-            near = np.bitwise_count(bits[a : a + tile, None] ^ bits[None, b : b + tile]) <= radius
-            if a == b:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            i, j = i + a, j + b
-            while len(i):
-                apart = root[i] != root[j]  # cheap first look; find() decides
-                i, j = i[apart], j[apart]
-                for x, y in zip(i[:tile].tolist(), j[:tile].tolist(), strict=True):
-                    if (p := find(x)) != (q := find(y)):
-                        root[max(p, q)] = min(p, q)
-                        edges.append((int(order[x]), int(order[y])))
-                i, j = i[tile:], j[tile:]
+    def tiles(self, own: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """Tiles of the positions ``own`` by population count, with their least and largest."""
+        own = own[np.argsort(self.count[own], kind="stable")]
+        return [(x := own[a : a + self.tile], int(self.count[x[0]]), int(self.count[x[-1]])) for a in range(0, len(own), self.tile)]
+
+    def compare(self, left: np.ndarray, right: np.ndarray | None = None) -> None:
+        """All pairs of ``left``, or those of ``left`` with ``right``."""
+        rows = self.tiles(left)
+        columns = rows if right is None else self.tiles(right)
+        for k, (a, low, high) in enumerate(rows):
+            for b, least, most in columns[k:] if right is None else columns:
+                if least - high > self.radius or low - most > self.radius:
+                    self.skipped += 1
+                    continue
+                self.compared += 1
+                roots = self.root[a]
+                if roots[0] == self.root[b[0]] and (roots == roots[0]).all() and (self.root[b] == roots[0]).all():
+                    continue  # connected already
+                near = np.bitwise_count(self.bits[a][:, None] ^ self.bits[b][None, :]) <= self.radius
+                i, j = np.nonzero(np.triu(near, 1) if a is b else near)
+                self.join(a[i], b[j])
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while len(i):
+            apart = root[i] != root[j]  # cheap first look; find() decides
+            i, j = i[apart], j[apart]
+            for x, y in zip(i[: self.tile].tolist(), j[: self.tile].tolist(), strict=True):
+                if (p := self.find(x)) != (q := self.find(y)):
+                    root[max(p, q)] = min(p, q)
+                    self.edges.append((x, y))
+            if len(i):
                 while (up := root[root] != root).any():
                     root[up] = root[root[up]]
-    return edges
+            i, j = i[self.tile :], j[self.tile :]
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (u, v) of nodes (node long, bits long) that connect what lies within the radius."""
-
-    def key_rows(batches):
-        for b in batches:
-            node, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            every = list(keys(bits, radius))
-            yield [np.concatenate(every).view(np.int64), np.tile(node, len(every)), np.tile(bits.view(np.int64), len(every))]
+def _compared(bits: np.ndarray, part: np.ndarray, below: np.ndarray, radius: int, counter: Accumulator | None) -> list[tuple[int, int]]:
+    """Edges of one task: the pairs of its two parts, or of its only one, but for pairs that both came from the next band."""
+    forest = Forest(bits, radius)
+    parts = np.unique(part)
+    own = [(np.flatnonzero((part == p) & ~below), np.flatnonzero((part == p) & below)) for p in parts]
+    if len(own) == 1:
+        forest.compare(own[0][0])
+        forest.compare(*own[0])
+    else:
+        for left, right in ((own[0][0], own[1][0]), (own[0][0], own[1][1]), (own[1][0], own[0][1])):
+            forest.compare(left, right)
+    if counter is not None:
+        counter.add(forest.compared)
+    return forest.edges
+
+
+def _keyed(batches: Iterable[pa.RecordBatch], radius: int, wanted: list[int]) -> Iterator[list]:
+    for b in batches:
+        node, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        for mask in wanted:
+            own, under = keys(bits, radius, mask)
+            yield [np.concatenate([own, under]).view(np.int64), np.tile(node, 2), np.tile(bits.view(np.int64), 2), np.repeat([0, 1], len(node))]
+
+
+def _dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """(task, node, bits, below, part): a row of a group of several parts goes to a task for each pair of its own and another."""
+    for b in batches:
+        key, node, bits, below, size = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        parts = np.where(np.isnan(size), 1, -(-np.nan_to_num(size) // SPLIT)).astype(np.int64) if size.dtype.kind == "f" else -(-size // SPLIT)
+        own = (_mixed(bits.view(np.uint64), 11) % parts.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(key)), parts)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+        mine = own[at]
+        task = _mixed(key[at].view(np.uint64) + (np.minimum(mine, other) << 20 | np.maximum(mine, other)).view(np.uint64), 13)
+        yield [task.view(np.int64), node[at], bits[at], below[at], mine]
+
+
+def links(nodes: DataFrame, radius: int = 3, counter: Accumulator | None = None) -> DataFrame:
+    """Edges (u, v) of nodes (node long, bits long) that connect what lies within the radius.
+
+    ``counter`` gets the number of tile pairs that all tasks compare.
+    """
+    wanted = masks(nodes.count(), radius)
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
 
-        def groups(table: pa.Table) -> list:
-            key, node, bits = (table.column(k).to_numpy() for k in range(3))
-            at = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
-            ends = np.append(at[1:], len(key))
+        def tasks(table: pa.Table) -> list:
+            task, node, bits, below, part = (table.column(k).to_numpy() for k in range(5))
+            edges = np.append(np.flatnonzero(np.diff(task, prepend=task[0] - 1)), len(task))
             u, v = [], []
-            for a, e in zip(at[ends - at > 1].tolist(), ends[ends - at > 1].tolist(), strict=True):
-                if e - a == 2:
-                    if int(bits[a] ^ bits[a + 1]) & ((1 << 64) - 1) and np.bitwise_count((bits[a : a + 1] ^ bits[a + 1 : a + 2]).view(np.uint64))[0] <= radius:
-                        u.append(node[a]), v.append(node[a + 1])
-                else:
-                    for x, y in forest(bits[a:e].view(np.uint64), radius):
+            for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if e - a > 1:
+                    for x, y in _compared(bits[a:e].view(np.uint64), part[a:e], below[a:e] > 0, radius, counter):
                         u.append(node[a + x]), v.append(node[a + y])
             return [np.array(u, np.int64), np.array(v, np.int64)]
 
-        for b in batches:  # sorted by key; the last key may go on in the next batch
+        for b in batches:  # sorted by task; the last one may go on in the next batch
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy()
-            if key[0] == key[-1]:
+            task = b.column(0).to_numpy()
+            if task[0] == task[-1]:
                 held.append(b)
                 continue
-            last = int(np.searchsorted(key, key[-1]))
-            yield groups(pa.Table.from_batches([*held, b.slice(0, last)]))
+            last = int(np.searchsorted(task, task[-1]))
+            yield tasks(pa.Table.from_batches([*held, b.slice(0, last)]))
             held = [b.slice(last)]
         if held:
-            yield groups(pa.Table.from_batches(held))
+            yield tasks(pa.Table.from_batches(held))
 
-    keyed = map_rows(nodes.select("node", "bits"), key_rows, "key long, node long, bits long")
-    alone = keyed.repartition("key").sortWithinPartitions("key")
+    keyed = map_rows(nodes.select("node", "bits"), lambda b: _keyed(b, radius, wanted), "key long, node long, bits long, below int")
+    large = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT)
+    sized = keyed.join(large, "key", "left").select("key", "node", "bits", "below", F.coalesce("size", F.lit(1)).alias("size"))
+    dealt = map_rows(sized, _dealt, "task long, node long, bits long, below int, part long")
+    alone = dealt.repartition("task").sortWithinPartitions("task")
     return map_rows(alone, compare, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+def _grouped(prints: DataFrame, radius: int, counter: Accumulator | None = None) -> DataFrame:
+    """``prints`` (doc_id, bits, more) with component_id."""
+    nodes = cut(prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("node")))
+    repeated = prints.join(nodes, "bits").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
+    group = components(links(nodes, radius, counter).unionAll(repeated))
+    by_bits = nodes.join(group, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(by_bits, "bits", "left")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, counter: Accumulator | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Documents link when their fingerprints differ in ``radius`` bits at most; component_id is the smallest
     doc_id reachable. Documents without words (null, empty, white space) have fingerprint zero and link like
     any other. Rows that repeat a doc_id with other texts tie their components together; a null doc_id is
-    left out of links. An empty table gives no rows.
+    left out of links. An empty table gives no rows. Other columns, of whatever name, are not read. A text of
+    any length is hashed whole.
     """
-    prints = cut(fingerprints(docs, width, seed))
-    nodes = cut(prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("node")))
-    edges = links(nodes, radius)
-    repeated = prints.join(nodes, "bits").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
-    group = components(edges.unionAll(repeated))
-    by_bits = nodes.join(group, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(by_bits, "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(cut(fingerprints(docs, width, seed)), radius, counter)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, all columns as they were.
+    """One document of each component, the one with the smallest doc_id, all columns, of whatever names, as they were.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay, but for ones with equal texts.
+    Of rows that repeat a doc_id the one with the least hash of all its columns stays, so that the choice is the
+    same whenever it is made. Rows without a doc_id stay, but one of those with equal texts. A null text has no
+    words; an empty table gives no rows. Ids and hashes decide; the rows themselves are exchanged once.
     """
-    kept = near_duplicates(docs, radius).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    guard = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return first.withColumn("_guard", guard).dropDuplicates(["doc_id", "_guard"]).drop("_guard")
+    doc_id, row = F.col("doc_id").cast("long"), whole_row(docs)
+    key = {"known": doc_id.isNotNull().cast("long"), "key": F.coalesce(doc_id, F.xxhash64(F.col("text"))), "hash": F.xxhash64(row)}
+    prints = cut(fingerprints(docs, **key))
+    first = _grouped(prints, radius).where("doc_id = component_id or doc_id is null")
+    kept = first.groupBy("known", "key").agg(F.min("hash").alias("hash"))
+    rows = docs.select(row.alias("row"), *[c.alias(n) for n, c in key.items()])
+    one = rows.join(kept, [*key]).dropDuplicates([*key])  # what is left of a key is rows that are equal throughout
+    return one.select(*columns_of("row", docs.columns))

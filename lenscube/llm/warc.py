@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lenscube.llm.common import checkpoint_dir, map_rows
+from lenscube.llm.common import map_rows, scratch
 from lenscube.llm.components import components
 
 # Fixed values of the format.
@@ -262,7 +262,7 @@ def assemble(found: DataFrame, several: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, payloads: bool = False) -> DataFrame:
     """The captures of ``pages``, written to the shared folder and read back."""
     spark = pages.sparkSession
-    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write(pages, path, least)
     return assemble(read(spark, path, payloads))
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from lenscube.llm import simhash
@@ -46,26 +47,72 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {x.doc_id: x.component_id for x in got} == brute_components(prints)
 
 
+def connected(n, edges):
+    got = list(range(n))
+    for _ in range(n):
+        before = list(got)
+        for a, b in edges:
+            got[a] = got[b] = min(got[a], got[b])
+        if got == before:
+            break
+    return dict(enumerate(got))
+
+
 def test_forest_connects_what_lies_within_the_radius():
     r = np.random.default_rng(2)
     bits = np.unique(r.integers(0, 1 << 9, 300).astype(np.uint64) * np.uint64(0x0101010101) % np.uint64(1 << 62))
-    edges = simhash.forest(bits, 3, tile=16)
     want = brute_components([(i, int(x)) for i, x in enumerate(bits)])
-    got = {i: i for i in want}
-    for _ in want:
-        for a, b in edges:
-            got[a] = got[b] = min(got[a], got[b])
-    assert got == want and len(edges) == len(want) - len(set(want.values()))
+    forest = simhash.Forest(bits, 3, tile=16)
+    forest.compare(np.arange(len(bits)))
+    assert connected(len(bits), forest.edges) == want and len(forest.edges) == len(want) - len(set(want.values()))
+    assert forest.compared and forest.skipped
+    halves = simhash.Forest(bits, 3, tile=16)
+    left, right = np.arange(0, len(bits), 2), np.arange(1, len(bits), 2)
+    halves.compare(left), halves.compare(right), halves.compare(left, right)
+    assert connected(len(bits), halves.edges) == want
 
 
-def test_keys_meet_within_the_radius():
+def test_masks_and_bands_meet_within_the_radius():
     r = random.Random(4)
-    for _ in range(200):
-        x = r.getrandbits(64)
-        y = x
-        for b in r.sample(range(64), 3):
-            y ^= 1 << b
-        assert any((k := key)[0] == k[1] for key in simhash.keys(np.array([x, y], np.uint64), 3))
+    for n, radius in ((500, 3), (10**5, 3), (10**9, 3), (10**12, 3), (10**6, 7), (10**5, 0)):
+        every = simhash.masks(n, radius)
+        assert (every == [0]) == (n < 1024)
+        for _ in range(60):
+            x = r.getrandbits(64)
+            y = x
+            for b in r.sample(range(64), radius):
+                y ^= 1 << b
+            meet = False
+            for mask in every:
+                own, under = simhash.keys(np.array([x, y], np.uint64), radius, mask)
+                meet |= own[0] in (own[1], under[1]) or own[1] == under[0]
+            assert meet
+
+
+def test_tiles_decide_in_the_query(spark):
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 62, 3000, dtype=np.uint64)
+    near = base[:400] ^ (np.uint64(1) << r.integers(0, 62, 400).astype(np.uint64))
+    bits = np.unique(np.concatenate([base, near]))
+    nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(bits.view(np.int64).tolist())], "node long, bits long")
+    count = spark.sparkContext.accumulator(0)
+    got = connected(len(bits), [(e.u, e.v) for e in simhash.links(nodes, 3, count).collect()])
+    forest = simhash.Forest(bits, 3)
+    forest.compare(np.arange(len(bits)))
+    assert got == connected(len(bits), forest.edges) and sum(a != b for a, b in got.items()) >= 390
+    assert count.value > 50
+
+
+def test_a_large_group_is_dealt_to_tasks_for_each_pair_of_parts():
+    r = np.random.default_rng(1)
+    n = 50_000
+    bits = r.integers(0, 1 << 62, n, dtype=np.uint64).view(np.int64)
+    batch = pa.RecordBatch.from_pydict({"key": np.zeros(n, np.int64), "node": np.arange(n), "bits": bits, "below": np.zeros(n, np.int32), "size": np.full(n, n)})
+    (columns,) = list(simhash._dealt([batch]))
+    _, sizes = np.unique(columns[0], return_counts=True)
+    assert len(sizes) == 10 and sizes.max() < 2.1 * n / 4  # four parts, ten pairs of them
+    whole = set(zip(columns[1].tolist(), columns[4].tolist()))
+    assert len(whole) == n  # a node has one part
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -79,3 +126,13 @@ def test_keep_first_keeps_one_of_each(spark):
     docs = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y"), (3, None, "z"), (4, "q r s t u", "z")], "doc_id long, text string, node string")
     assert sorted(x.doc_id for x in simhash.keep_first(docs).collect()) == [1, 3, 4]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+    assert simhash.keep_first(docs.where("false")).count() == 0
+
+
+def test_keep_first_with_any_column_names_nulls_and_repeats(spark):
+    rows = [(1, "a b c d", 1, 2, 3, "r"), (1, "other words here", 1, 2, 3, "r"), (1, "other words here", 1, 2, 3, "r")]
+    rows += [(None, "same", 1, 2, 3, "r"), (None, "same", 1, 2, 3, "r"), (None, "same", 9, 2, 3, "r"), (None, "else", 1, 2, 3, "r"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _guard int, `a.b` int, row string")
+    got = [sorted(map(tuple, simhash.keep_first(docs.repartition(n)).collect()), key=repr) for n in (1, 3, 5)]
+    assert got[0] == got[1] == got[2] and simhash.keep_first(docs).columns == docs.columns
+    assert sorted(str(x[:2]) for x in got[0]) == sorted([str((1, next(x[1] for x in got[0] if x[0] == 1))), "(None, 'same')", "(None, 'else')", "(None, None)"])
