@@ -27,7 +27,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def percent_scale(rows: DataFrame, *within: str) -> DataFrame:
-    """Adds ``pct``: the share of cosines up to this one, ties taking the upper rank, rounded half to even."""
+    """Adds ``pct``: the share of cosines up to this one, ties taking the upper rank, rounded half to even.
+
+    Without ``within`` one task ranks all rows: pairs of units, some tens of thousands.
+    """
     w = Window.partitionBy(*within).orderBy("cos")
     return rows.withColumn("pct", F.bround(100 * F.cume_dist().over(w), 0).cast("long"))
 
@@ -44,8 +47,23 @@ def pairs(vectors: DataFrame, top: int = 5) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def modes(vectors: DataFrame, unit: str, vector: str, on: Column, top: int = 5) -> DataFrame:
+    """(mode, unit, rank, target, pct, cos): ``pairs`` of all vectors as "overall", of those ``on`` a lens as "lens".
+
+    A unit without vectors on a lens has one row there, with nulls.
+    """
+    def of(rows: DataFrame, mode: str) -> DataFrame:
+        return pairs(as_vectors(centroids(rows, unit, vector)), top).select(F.lit(mode).alias("mode"), "unit", "rank", "target", "pct", "cos")
+
+    own = of(vectors.where(on), "lens")
+    units = vectors.select(F.col(unit).alias("unit")).distinct().withColumn("mode", F.lit("lens"))
+    return of(vectors, "overall").unionByName(units.join(own, ["mode", "unit"], "left"))
+
+
 def to_groups(cells: DataFrame, members: DataFrame) -> DataFrame:
-    """(unit, sel, pct, cos) of each unit to each group without the unit itself, by leave-one-out sums.
+    """(unit, rank, sel, pct, cos) of each unit to each group without the unit itself, by leave-one-out sums.
+
+    Groups are ranked by pct, the closest first, then by name.
 
     A group whose only member is the unit has no row. cells: unit, dim, v; members: sel, unit.
     """
@@ -54,4 +72,5 @@ def to_groups(cells: DataFrame, members: DataFrame) -> DataFrame:
     each = cells.join(sums, "dim").join(own, ["sel", "unit"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     rest = each.where(F.col("n") > F.col("own")).withColumn("g", (F.col("s") - F.col("own") * F.col("v")) / (F.col("n") - F.col("own")))
     dots = rest.groupBy("unit", "sel").agg(F.sum(F.col("v") * F.col("g")).alias("vg"), F.sum(F.col("v") * F.col("v")).alias("vv"), F.sum(F.col("g") * F.col("g")).alias("gg"))
-    return percent_scale(dots.select("unit", "sel", F.round(F.col("vg") / F.sqrt(F.col("vv") * F.col("gg")), 9).alias("cos")))
+    scaled = percent_scale(dots.select("unit", "sel", F.round(F.col("vg") / F.sqrt(F.col("vv") * F.col("gg")), 9).alias("cos")))
+    return scaled.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("pct"), "sel")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lenscube.functions.scalars import TINY
+from lenscube.functions.scalars import TINY, missing_is_null
 
 
 def share_cube(points: DataFrame, lenses: int, mask: str = "mask") -> DataFrame:
@@ -47,7 +47,7 @@ def ratio_to_world(groups: DataFrame, world: DataFrame) -> DataFrame:
 
 def trend(share: DataFrame, members: DataFrame, periods: DataFrame, lens: int, world: str = "world") -> DataFrame:
     """(series, period, v) over every period: the members' equal-weight mean, null where none has a share."""
-    own = share.where((F.col("lens") == lens) & F.col("share").isNotNull())
+    own = share.where(F.col("lens") == lens).withColumn("share", missing_is_null(F.col("share"))).where("share is not null")
     series = own.join(members, "unit").select("sel", "period", "share").unionByName(own.select(F.lit(world).alias("sel"), "period", "share"))
     names = members.select("sel").distinct().unionByName(members.sparkSession.createDataFrame([(world,)], "sel string"))
     grid = names.join(F.broadcast(periods))  # a row for each series and period: both lists are short
@@ -56,17 +56,22 @@ def trend(share: DataFrame, members: DataFrame, periods: DataFrame, lens: int, w
 
 
 def composition(parts: DataFrame, spoken: DataFrame) -> DataFrame:
-    """(unit, topic, share): the sum of a topic's parts over the periods spoken; a topic not named counts 0."""
+    """(unit, topic, share, seen): the sum of a topic's parts over the periods spoken; a topic not named counts 0.
+
+    parts: unit, period, ord (place in the speech), topic, share. ``seen`` is a topic's first (period, ord).
+    """
     n = spoken.groupBy("unit").agg(F.count_distinct("period").alias("periods"))
-    return parts.groupBy("unit", "topic").agg(F.sum("share").alias("s")).join(n, "unit").select("unit", "topic", (F.col("s") / F.col("periods")).alias("share"))
+    sums = parts.groupBy("unit", "topic").agg(F.sum("share").alias("s"), F.min(F.struct("period", "ord")).alias("seen"))
+    return sums.join(n, "unit").select("unit", "topic", (F.col("s") / F.col("periods")).alias("share"), "seen")
 
 
 def top_and_others(shares: DataFrame, top: int, lenses: int) -> DataFrame:
     """(unit, ord, topic, share, shade): the largest shares, then what is left as topic -1 if it is worth it.
 
+    Equal shares stand in the order in which their topics were first seen (``composition``).
     Shades alternate within the family of lenses (topic < ``lenses``) and within that of other topics.
     """
-    ranked = shares.withColumn("ord", F.expr("row_number() over (partition by unit order by round(share, 9) desc, topic)")).where(F.col("ord") <= top)
+    ranked = shares.withColumn("ord", F.expr("row_number() over (partition by unit order by round(share, 9) desc, seen)")).where(F.col("ord") <= top)
     shade = F.expr(f"(row_number() over (partition by unit, topic < {lenses} order by ord) - 1) % 2")
     segments = ranked.withColumn("shade", shade)
     rest = ranked.groupBy("unit").agg((1 - F.sum("share")).alias("share")).where(F.col("share") > TINY)

@@ -25,9 +25,8 @@ def scores(rows: DataFrame, truth: Column, predicted: Column, weight: Column | N
 def sweep(rows: DataFrame, truth: Column, score: str) -> DataFrame:
     """(threshold, tp, predicted, precision, recall, f1) with ``score <= threshold`` predicted, at each distinct score."""
     counts = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(truth.cast("long")).alias("t"), F.count("*").alias("n"))
-    true = counts.agg(F.sum("t")).first()[0] or 0
     totals = running_totals(counts, "threshold", ["t", "n"])
-    return totals.select("threshold", F.col("sum_t").alias("tp"), F.col("sum_n").alias("predicted"), *_rates(F.col("sum_t"), F.col("sum_n"), F.lit(true)))
+    return totals.select("threshold", F.col("sum_t").alias("tp"), F.col("sum_n").alias("predicted"), *_rates(F.col("sum_t"), F.col("sum_n"), F.col("total_t")))
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:
@@ -58,15 +57,21 @@ def calibration(rows: DataFrame, truth: Column, score: str, bins: int = 10) -> D
     return sums.withColumn("of_ten", F.floor(10.0 * F.col("hits") / F.col("n") + 0.5).cast("long"))
 
 
-def fold(group: Column, folds: int) -> Column:
+def chance(key: Column, seed: int = 0) -> Column:
+    """A number from 0 to 1 made from a row's key alone: the same on any layout of the rows."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
+def fold(group: Column, folds: int, seed: int = 0) -> Column:
     """The fold of a row; rows of one group (a speech) are never parted."""
-    return F.pmod(F.xxhash64(group), F.lit(folds))
+    return F.floor(chance(group, seed) * folds).cast("long")
 
 
-def stratified(rows: DataFrame, stratum: str, rates: dict, seed: int = 7) -> DataFrame:
-    """A random sample by stratum, with ``weight`` 1 / rate."""
-    weight = F.create_map(*[F.lit(x) for k, r in rates.items() for x in (k, 1.0 / r)])
-    return rows.sampleBy(stratum, rates, seed).withColumn("weight", F.element_at(weight, F.col(stratum)))
+def stratified(rows: DataFrame, stratum: str, rates: dict, key: str, seed: int = 7) -> DataFrame:
+    """A random sample by stratum, with ``weight`` 1 / rate; rows go by the hash of their key."""
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, r in rates.items() for x in (k, float(r))]), F.col(stratum))
+    return rows.where(chance(F.col(key), seed) < rate).withColumn("weight", 1.0 / rate)
 
 
 def train(rows: DataFrame, features: str, label: str):
@@ -76,3 +81,18 @@ def train(rows: DataFrame, features: str, label: str):
 
     table = rows.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
     return LogisticRegression(maxIter=20).fit(table)
+
+
+def with_threshold(rows: DataFrame, features: str, label: str):
+    """(model, threshold): a logistic regression and the probability from which on its F1 on ``rows`` is highest."""
+    model = train(rows, features, label)
+    scored = scored_by(model, rows, features).select((-F.col("p")).alias("score"), (F.col(label) == 1).alias("truth"))
+    return model, -best_threshold(sweep(scored, F.col("truth"), "score")).first().threshold
+
+
+def scored_by(model, rows: DataFrame, features: str) -> DataFrame:
+    """Adds ``p``, the model's probability."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scored = model.transform(rows.withColumn("_x", array_to_vector(F.col(features))).withColumnRenamed("_x", "features"))
+    return scored.withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")

@@ -66,9 +66,23 @@ def label_order(labels: DataFrame) -> DataFrame:
     return labels.withColumn("rank", F.expr("row_number() over (order by is_lens desc, n desc, topic)"))  # one row a topic
 
 
-def label_anchors(points: DataFrame, cells: int = 20) -> DataFrame:
-    """(topic, x, y, n): the centre of each topic's fullest cell of a grid, with the topic's count."""
+def outline(members: DataFrame) -> DataFrame:
+    """(slot, unit, n, layer): each selection's units with its size and turn, larger selections first, then earlier slots.
+
+    The turn is ranked over the selections, a few rows.
+    """
+    size = members.groupBy("slot").agg(F.count("*").alias("n"))
+    turn = size.withColumn("layer", F.expr("row_number() over (order by n desc, slot)"))
+    return members.select("slot", "unit").join(turn, "slot")
+
+
+def label_anchors(points: DataFrame, cells: int = 20, alternates: int = 4) -> DataFrame:
+    """(topic, place, x, y, n): the centres of each topic's fullest grid cells, with the topic's count.
+
+    Place 0 is the anchor, others are alternates in their order. (Cells and number of alternates are our choice.)
+    """
     grid = points.select("topic", F.least(F.floor(F.col("x") * cells), F.lit(cells - 1)).alias("cx"), F.least(F.floor(F.col("y") * cells), F.lit(cells - 1)).alias("cy"))
     counts = grid.groupBy("topic", "cx", "cy").agg(F.count("*").alias("k"))
-    best = F.max(F.struct("k", (-F.col("cx")).alias("nx"), (-F.col("cy")).alias("ny"))).alias("b")
-    return counts.groupBy("topic").agg(best, F.sum("k").alias("n")).select("topic", ((0.5 - F.col("b.nx")) / cells).alias("x"), ((0.5 - F.col("b.ny")) / cells).alias("y"), "n")
+    total = counts.groupBy("topic").agg(F.sum("k").alias("n"))
+    ranked = counts.withColumn("place", F.expr("row_number() over (partition by topic order by k desc, cx, cy) - 1")).where(F.col("place") <= alternates)
+    return ranked.join(total, "topic").select("topic", "place", ((F.col("cx") + 0.5) / cells).alias("x"), ((F.col("cy") + 0.5) / cells).alias("y"), "n")

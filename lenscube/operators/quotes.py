@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +16,21 @@ def candidates(excerpts: DataFrame, members: DataFrame, top: int | None = None)
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
+def pools(excerpts: DataFrame, members: DataFrame) -> DataFrame:
+    """(slot, sel, key, rank): each selection's distinct keys with their place in ``candidates``' order.
+
+    An aggregation with partial results; no selection's excerpts are gathered or sorted as a whole.
+    """
+    place = F.min(F.struct((-F.col("p")).alias("p"), (-F.col("period")).alias("period"), "ord"))
+    return excerpts.join(members, "unit").groupBy("slot", "sel", "key").agg(place.alias("rank"))
+
+
 def round_robin(pools: DataFrame, slots: int, picks: int = 3, rounds: int = 3) -> DataFrame:
-    """(pick, sel, slot, key, ...): the pools take turns, each its first key not yet taken.
+    """(pick, sel, slot, key): the pools take turns, each its first key not yet taken.
 
-    ``pools`` has sel, slot, rank and key. A pick can be blocked by ``picks`` - 1 others at most, so the first
-    ``picks`` distinct keys of a pool are enough; the turns are played on those few rows as nested arrays.
+    ``pools`` has sel, slot, rank (anything that sorts) and key. A pick can be blocked by ``picks`` - 1 others at
+    most, so the first ``picks`` distinct keys of a pool are enough; Spark cuts to those before the shuffle, and
+    the turns are played on those few rows as nested arrays.
     """
     once = pools.groupBy("slot", "sel", "key").agg(F.min("rank").alias("rank"))
     w = Window.partitionBy("slot").orderBy("rank")
@@ -52,6 +60,3 @@ def chosen_first(rows: DataFrame, lens: int) -> DataFrame:
     w = Window.partitionBy("unit", "idx").orderBy(F.desc(F.col("lens") == lens), "pos")
     return rows.withColumn("rank", F.row_number().over(w))
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

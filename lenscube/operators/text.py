@@ -24,10 +24,10 @@ def keyness(docs: DataFrame, inside: Column, terms: Column, alpha: float = 0.01,
     before anything else; the totals are one row.
     """
     each = docs.select(inside.cast("int").alias("i"), F.explode(terms).alias("term"))
-    counts = each.groupBy("term").agg(F.sum("i").alias("a"), F.sum(1 - F.col("i")).alias("b")).persist()  # read for the totals and the terms
-    total = counts.agg(F.sum("a"), F.sum("b"), F.count("*")).first()  # one row
-    na, nb, prior = float(total[0] or 0), float(total[1] or 0), alpha * total[2]
-    a, b = F.col("a") + alpha, F.col("b") + alpha
+    counts = each.groupBy("term").agg(F.sum("i").alias("a"), F.sum(1 - F.col("i")).alias("b"))
+    total = counts.agg(F.sum("a").cast("double").alias("na"), F.sum("b").cast("double").alias("nb"), (F.count("*") * alpha).alias("prior"))
+    counts = counts.join(F.broadcast(total))  # one row; both sides read the same exchange
+    a, b, na, nb, prior = F.col("a") + alpha, F.col("b") + alpha, F.col("na"), F.col("nb"), F.col("prior")
     delta = F.ln(a / (na + prior - a)) - F.ln(b / (nb + prior - b))
     z = F.round(delta / F.sqrt(1 / a + 1 / b), 6)
     kept = counts.select("term", z.alias("z"), F.col("a").alias("n")).where((F.col("z") >= least_z) & (F.col("n") >= least_n))

@@ -51,6 +51,34 @@ class QueryParams:
         return (F.col(period) if isinstance(period, str) else period).between(self.first, self.last)
 
 
+def period_forms(a: Column, b: Column, span: tuple[int, int]) -> dict[str, Column]:
+    """``QueryParams``' forms of a period for columns of two handles, in either order.
+
+    first, last, is_all, single, period_key, label, and ``next``, the one period that the first move of handle a picks.
+    """
+    first, last = F.least(a, b), F.greatest(a, b)
+    is_all = (first == span[0]) & (last == span[1])
+    single = F.when(first == last, first)
+    return {
+        "first": first, "last": last, "is_all": is_all, "single": single,
+        "period_key": F.when(is_all, F.lit("all")).otherwise(single.cast("string")),
+        "label": F.when(single.isNotNull(), single.cast("string")).otherwise(F.concat_ws("–", first.cast("string"), last.cast("string"))),
+        "next": F.when(is_all, a),
+    }
+
+
+def link_of(fragment: Column, known: Column) -> Column:
+    """``from_link`` for columns: the selection (one of the array ``known``), "annex", or null."""
+    h = F.lower(F.url_decode(F.regexp_replace(fragment, "^#", "")))
+    return F.when(F.array_contains(known, h), h).when(h.isin("anexo", "annex"), F.lit("annex"))
+
+
+def active_slots(slots: Column, known: Column) -> Column:
+    """``QueryParams.active`` for columns: (slot, sel) of the filled slots; a slot keeps its number."""
+    numbered = F.transform(slots, lambda s, k: F.struct(k.alias("slot"), s.alias("sel")))
+    return F.filter(numbered, lambda x: F.array_contains(known, x["sel"]))
+
+
 def from_link(fragment: str, known: frozenset[str]) -> tuple[str, str] | None:
     """A link's fragment, decoded and case-folded: ("selection", slug), ("annex", "") or nothing."""
     h = unquote(fragment.removeprefix("#")).lower()

@@ -127,7 +127,7 @@ def trend(spark, d):
 _PARTS = f"""{_E}, cell AS (SELECT unit, period, count(*) AS n FROM e GROUP BY 1, 2),
   parts AS (SELECT e.unit, e.period, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 4 ELSE 5 END AS topic, count(*) / max(n) AS share
     FROM e JOIN cell USING (unit, period) GROUP BY 1, 2, 3),
-  comp AS (SELECT unit, topic, sum(share) / max(k) AS share FROM parts JOIN (SELECT unit, count(*) AS k FROM cell GROUP BY 1) USING (unit) GROUP BY 1, 2)"""
+  comp AS (SELECT unit, topic, sum(share) / max(k) AS share, min(period * 10 + topic) AS seen FROM parts JOIN (SELECT unit, count(*) AS k FROM cell GROUP BY 1) USING (unit) GROUP BY 1, 2)"""
 
 
 def composition_of(spark, d):
@@ -135,7 +135,7 @@ def composition_of(spark, d):
     topic = F.array_position(F.array(*[F.lit(t) for t in TOPICS]), F.col("event_type")) - 1
     each = e.groupBy("unit", "period", topic.alias("topic")).agg(F.count("*").alias("k"))
     cells = each.groupBy("unit", "period").agg(F.sum("k").alias("n"))
-    parts = each.join(cells, ["unit", "period"]).withColumn("share", F.col("k") / F.col("n"))
+    parts = each.join(cells, ["unit", "period"]).withColumn("share", F.col("k") / F.col("n")).withColumn("ord", F.col("topic"))
     return cube.composition(parts, cells)
 
 
@@ -144,7 +144,7 @@ def composition(spark, d):
     return composition_of(spark, d).select("unit", "topic", r6("share"))
 
 
-@query("q_topn_others", f"""WITH {_PARTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round(share, 9) DESC, topic) AS ord FROM comp),
+@query("q_topn_others", f"""WITH {_PARTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round(share, 9) DESC, seen) AS ord FROM comp),
   top AS (SELECT * FROM ranked WHERE ord <= 3), shaded AS (SELECT unit, ord, topic, share, (row_number() OVER (PARTITION BY unit, topic < 3 ORDER BY ord) - 1) % 2 AS shade FROM top),
   rest AS (SELECT unit, 1 - sum(share) AS share FROM top GROUP BY 1)
   SELECT unit, ord, topic, round(share, 6) AS share, shade FROM shaded UNION ALL SELECT unit, 4, -1, round(share, 6), NULL FROM rest WHERE share > 0.0005""")
@@ -173,7 +173,7 @@ def candidates(spark, d):
   f AS (SELECT * FROM c WHERE slot = 2 AND event_id NOT IN (SELECT event_id FROM a UNION ALL SELECT event_id FROM b) ORDER BY rank LIMIT 1)
   SELECT 1 AS pick, sel, event_id FROM a UNION ALL SELECT 2, sel, event_id FROM b UNION ALL SELECT 3, sel, event_id FROM f""")
 def round_robin(spark, d):
-    pools = quotes.candidates(excerpts(spark, d).where("event_type = 'purchase'"), members(spark, d))
+    pools = quotes.pools(excerpts(spark, d).where("event_type = 'purchase'"), members(spark, d))
     return quotes.round_robin(pools, 3).select("pick", "sel", F.col("key").alias("event_id"))
 
 
@@ -205,6 +205,12 @@ def smallest_selection(spark, d):
     return points.smallest_selection(members(spark, d))
 
 
+@query("q_outline", f"""WITH {_MEMBERS}, s AS (SELECT slot, count(*) AS n FROM members GROUP BY 1), t AS (SELECT slot, n, row_number() OVER (ORDER BY n DESC, slot) AS layer FROM s)
+  SELECT slot, unit, n, layer FROM members JOIN t USING (slot)""")
+def outline(spark, d):
+    return points.outline(members(spark, d)).select("slot", "unit", "n", "layer")
+
+
 @query("q_layer_class", f"""WITH {_E}, {_SMALL} SELECT layer, count(*) AS n FROM (SELECT CASE WHEN period NOT BETWEEN 5 AND 12 THEN -1 WHEN slot IS NULL THEN 0
   WHEN mask & 1 <> 0 THEN 4 - slot ELSE 1 END AS layer FROM e LEFT JOIN small USING (unit)) GROUP BY 1""")
 def layer_class(spark, d):
@@ -305,20 +311,20 @@ _PLANE = """e AS (SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS a, CAST(
 
 
 @query("q_knn_radius", f"""WITH {_PLANE}, c AS (SELECT q.idx AS probe, r.idx, CASE WHEN q.label = r.label THEN 0 ELSE 1 END AS tier,
-  (r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y) AS d2 FROM p q, p r WHERE q.idx < 20 AND q.idx <> r.idx),
+  (r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y) AS d2 FROM p q, p r WHERE q.idx % 100 = 0 AND q.idx <> r.idx),
   n AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY tier, d2, idx) AS k FROM c WHERE d2 < 0.1 * 0.1)
   SELECT probe, idx, tier, round(d2, 9) AS d2 FROM n WHERE k = 1""")
 def knn_radius(spark, d):
     p = plane(spark, d)
-    probes = p.where("idx < 20").select(F.col("idx").alias("probe"), F.col("x").alias("px"), F.col("y").alias("py"), "label")
+    probes = p.where("idx % 100 = 0").select(F.col("idx").alias("probe"), F.col("x").alias("px"), F.col("y").alias("py"), "label")
     return points.nearest_in_radius(probes, p, 0.1).select("probe", "idx", "tier", r6("d2", 9))
 
 
 @query("q_label_anchors", f"""WITH {_PLANE}, g AS (SELECT label AS topic, least(floor(x * 20), 19) AS cx, least(floor(y * 20), 19) AS cy, count(*) AS k FROM p GROUP BY 1, 2, 3),
-  b AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY k DESC, cx, cy) AS r, sum(k) OVER (PARTITION BY topic) AS n FROM g)
-  SELECT topic, round((cx + 0.5) / 20, 6) AS x, round((cy + 0.5) / 20, 6) AS y, CAST(n AS BIGINT) AS n FROM b WHERE r = 1""")
+  b AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY k DESC, cx, cy) - 1 AS place, sum(k) OVER (PARTITION BY topic) AS n FROM g)
+  SELECT topic, place, round((cx + 0.5) / 20, 6) AS x, round((cy + 0.5) / 20, 6) AS y, CAST(n AS BIGINT) AS n FROM b WHERE place <= 4""")
 def label_anchors(spark, d):
-    return points.label_anchors(plane(spark, d).withColumnRenamed("label", "topic")).select("topic", r6("x"), r6("y"), "n")
+    return points.label_anchors(plane(spark, d).withColumnRenamed("label", "topic")).select("topic", "place", r6("x"), r6("y"), "n")
 
 
 @query("q_label_order", """WITH t AS (SELECT event_type AS topic, event_type IN ('purchase', 'signup', 'error') AS is_lens, count(*) AS n FROM events GROUP BY 1, 2)
@@ -333,45 +339,113 @@ def bucket(spark, d):
     return table(spark, d, "lineitem").groupBy(scalars.bucket(F.col("l_discount")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("q_pct_text", f"""WITH {_MEANS} SELECT sel, lens, CASE WHEN v > 0 AND v < 0.0005 THEN '<0.1%' ELSE printf('%.1f%%', round(v * 100, 1)) END AS txt,
-  CASE WHEN v > 0 AND v < 0.0005 THEN '<0,1 %' ELSE replace(printf('%.1f', round(v * 100, 1)), '.', ',') || ' %' END AS txt_es FROM grp""")
+_CASES = (0.0, 0.0004, 0.0005, 0.0025, 0.0125, 1.0, 12.345, 99.99951, 123.456, 12345.678)
+_V = f"v(k, v) AS (SELECT sel || CAST(lens AS VARCHAR), v FROM grp UNION ALL SELECT * FROM (VALUES {', '.join(f"('case{k}', {v})" for k, v in enumerate(_CASES))}) UNION ALL SELECT 'none', NULL UNION ALL SELECT 'nan', 'nan'::DOUBLE)"
+
+
+def _number_sql(v: str) -> dict[str, str]:
+    """One decimal, half up: grouped by threes, in Spanish only from five digits on."""
+    en = f"format('{{:,.1f}}', floor({v} * 10 + 0.5 + 1e-9) / 10)"
+    return {"en": en, "es": f"CASE WHEN {v} < 9999.95 THEN translate({en}, '.,', ',') ELSE translate({en}, ',.', '.,') END"}
+
+
+_PCT, _RATIO = _number_sql("v * 100"), _number_sql("v")
+
+
+def figures(spark, d):
+    g = cube.group_mean(means(spark, d), members(spark, d)).select(F.concat("sel", F.col("lens").cast("string")).alias("k"), "v")
+    cases = [(f"case{k}", v) for k, v in enumerate(_CASES)] + [("none", None), ("nan", float("nan"))]
+    return g.unionByName(spark.createDataFrame(cases, "k string, v double"))
+
+
+@query("q_pct_text", f"""WITH {_MEANS}, {_V} SELECT k, CASE WHEN v IS NULL OR isnan(v) THEN '–' WHEN v > 0 AND v < 0.0005 THEN '<0.1%' ELSE {_PCT["en"]} || '%' END AS txt,
+  CASE WHEN v IS NULL OR isnan(v) THEN '–' WHEN v > 0 AND v < 0.0005 THEN '<0,1' || chr(160) || '%' ELSE {_PCT["es"]} || chr(160) || '%' END AS txt_es FROM v""")
 def pct_text(spark, d):
-    g = cube.group_mean(means(spark, d), members(spark, d))
-    return g.select("sel", "lens", scalars.percent_text(F.col("v")).alias("txt"), scalars.percent_text(F.col("v"), "es").alias("txt_es"))
+    return figures(spark, d).select("k", scalars.percent_text(F.col("v")).alias("txt"), scalars.percent_text(F.col("v"), "es").alias("txt_es"))
+
 
+@query("q_ratio_text", f"""WITH {_MEANS}, {_V} SELECT k, CASE WHEN v IS NULL OR isnan(v) THEN '–' ELSE {_RATIO["en"]} || '×' END AS txt, CASE WHEN v IS NULL OR isnan(v) THEN '–' ELSE {_RATIO["es"]} || '×' END AS txt_es FROM v""")
+def ratio_text(spark, d):
+    return figures(spark, d).select("k", scalars.ratio_text(F.col("v")).alias("txt"), scalars.ratio_text(F.col("v"), "es").alias("txt_es"))
 
-@query("q_formats", """SELECT n_nationkey AS k, CAST(floor(n_nationkey / 7.0 * 100 + 0.5) AS BIGINT) AS whole, least(1.0, greatest(0.0, n_nationkey / 10.0 - 0.5)) AS clamped,
-  'a {x} b'.replace('{x}', n_name) AS filled, '&lt;' || n_name || '&gt;&amp;&quot;' AS escaped,
-  CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN n_name ELSE n_name || ' and x' END AS listed FROM nation""")
+
+@query("q_formats", """WITH n AS (SELECT n_nationkey AS k, n_name AS a, CASE WHEN n_nationkey % 2 = 0 THEN 'x{y}' ELSE 'Irene' END AS b FROM nation)
+  SELECT k, CAST(floor(k / 7.0 * 100 + 0.5) AS BIGINT) AS whole, least(1.0, greatest(0.0, k / 10.0 - 0.5)) AS clamped,
+  'a ' || a || ' b' || b || '' AS filled, '&lt;' || a || '&gt;&amp;&quot;' AS escaped,
+  CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN a WHEN 2 THEN a || ' and ' || b ELSE a || ', c, and ' || b END AS listed,
+  CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN a WHEN 2 THEN a || ' or ' || b ELSE a || ', c, or ' || b END AS listed_or,
+  CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN a WHEN 2 THEN a || CASE WHEN b = 'Irene' THEN ' e ' ELSE ' y ' END || b ELSE a || ', c' || CASE WHEN b = 'Irene' THEN ' e ' ELSE ' y ' END || b END AS listed_es FROM n""")
 def formats(spark, d):
-    k = F.col("n_nationkey")
-    items = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array("n_name")).otherwise(F.array(F.col("n_name"), F.lit("x")))
+    k, a = F.col("n_nationkey"), F.col("n_name")
+    b = F.when(k % 2 == 0, "x{y}").otherwise("Irene")
+    items = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(a)).when(k % 4 == 2, F.array(a, b)).otherwise(F.array(a, F.lit("c"), b))
     return table(spark, d, "nation").select(
         k.alias("k"), scalars.whole_percent(k / 7.0).alias("whole"), scalars.clamp01(k / 10.0 - 0.5).alias("clamped"),
-        scalars.fill_template(F.lit("a {x} b{y}"), {"x": F.col("n_name")}).alias("filled"),
-        scalars.html_escaped(F.concat(F.lit("<"), F.col("n_name"), F.lit('>&"'))).alias("escaped"), scalars.listed(items).alias("listed"),
+        scalars.fill_template(F.lit("a {x} b{y}{z}"), {"x": a, "y": b}).alias("filled"),
+        scalars.html_escaped(F.concat(F.lit("<"), a, F.lit('>&"'))).alias("escaped"), scalars.listed(items).alias("listed"),
+        scalars.listed(items, kind="disjunction").alias("listed_or"), scalars.listed(items, "es").alias("listed_es"),
     )
 
 
-@query("q_in_sentence", """SELECT 'd' || CAST(doc_id AS VARCHAR) AS k, CASE WHEN regexp_matches(substr(text, 1, 20), '^\\p{Lu}\\p{Ll}') THEN lower(substr(text, 1, 1)) || substr(substr(text, 1, 20), 2) ELSE substr(text, 1, 20) END AS t FROM documents
+@query("q_period_forms", """WITH d AS (SELECT DISTINCT CAST(day(ts) AS INT) AS d FROM events), p AS (SELECT a.d AS a, b.d AS b, least(a.d, b.d) AS f, greatest(a.d, b.d) AS l FROM d a, d b)
+  SELECT a, b, CASE WHEN f = 1 AND l = 30 THEN 'all' WHEN f = l THEN CAST(f AS VARCHAR) END AS period_key, CASE WHEN f = l THEN CAST(f AS VARCHAR) ELSE f || '–' || l END AS label,
+  f = 1 AND l = 30 AS is_all, CASE WHEN f = l THEN f END AS single, CASE WHEN f = 1 AND l = 30 THEN a END AS next FROM p""")
+def period_forms(spark, d):
+    days = events(spark, d).select("period").distinct()
+    handles = days.select(F.col("period").alias("a")).join(F.broadcast(days.select(F.col("period").alias("b"))))  # 30 days each
+    forms = params.period_forms(F.col("a"), F.col("b"), (1, 30))
+    return handles.select("a", "b", *[forms[k].alias(k) for k in ("period_key", "label", "is_all", "single", "next")])
+
+
+@query("q_links", """WITH l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '#' || upper(source) WHEN 1 THEN '%53RC' || substr(source, 4) WHEN 2 THEN '#Anexo' ELSE '#none' END AS h FROM documents),
+  u AS (SELECT doc_id, lower(url_decode(CASE WHEN h LIKE '#%' THEN substr(h, 2) ELSE h END)) AS h FROM l)
+  SELECT doc_id, CASE WHEN h IN ('src1', 'src2', 'src3') THEN h WHEN h IN ('anexo', 'annex') THEN 'annex' END AS link FROM u""")
+def links(spark, d):
+    kind, source = F.col("doc_id") % 4, F.col("source")
+    h = F.when(kind == 0, F.concat(F.lit("#"), F.upper(source))).when(kind == 1, F.concat(F.lit("%53RC"), F.substr(source, F.lit(4)))).when(kind == 2, "#Anexo").otherwise("#none")
+    return table(spark, d, "documents").select("doc_id", params.link_of(h, F.array(*[F.lit(f"src{k}") for k in (1, 2, 3)])).alias("link"))
+
+
+@query("q_active_slots", """WITH s AS (SELECT user_id AS unit, [CASE WHEN user_id % 2 = 0 THEN 'a' ELSE '' END, CASE WHEN user_id % 3 = 0 THEN 'b' ELSE 'gone' END, 'c'] AS s FROM (SELECT DISTINCT user_id FROM events))
+  SELECT unit, CAST(k - 1 AS INT) AS slot, s[k] AS sel FROM (SELECT unit, s, unnest(range(1, 4)) AS k FROM s) WHERE s[k] IN ('a', 'b', 'c')""")
+def active_slots(spark, d):
+    units = events(spark, d).select("unit").distinct()
+    slots = F.array(F.when(F.col("unit") % 2 == 0, "a").otherwise(""), F.when(F.col("unit") % 3 == 0, "b").otherwise("gone"), F.lit("c"))
+    known = F.array(*[F.lit(x) for x in "abc"])
+    return units.select("unit", F.inline(params.active_slots(slots, known))).select("unit", F.col("slot").cast("int").alias("slot"), "sel")
+
+
+@query("q_spoken", f"WITH {_E} SELECT unit, count(DISTINCT period) AS periods, min(period) AS first, max(period) AS last FROM e GROUP BY 1")
+def spoken(spark, d):
+    counts = events(spark, d).groupBy("unit", "period").agg(F.count("*").alias("n"))
+    return counts.where("n > 0").groupBy("unit").agg(F.count("*").alias("periods"), F.min("period").alias("first"), F.max("period").alias("last"))
+
+
+@query("q_approximate", f"""WITH {_E}, b AS (SELECT event_type, CASE WHEN avg(value) IS NULL THEN NULL ELSE avg(value) >= 50 END AS passed FROM e WHERE event_type <> 'click' GROUP BY 1 UNION ALL SELECT 'click', NULL)
+  SELECT event_type, event_type <> 'view' AND coalesce(NOT passed, false) AS approximate FROM b""")
+def approximate(spark, d):
+    bar = events(spark, d).groupBy("event_type").agg(F.when(F.col("event_type") != "click", F.avg("value") >= 50).alias("passed"))
+    return bar.select("event_type", scalars.is_approximate(F.col("event_type") == "view", F.col("passed")).alias("approximate"))
+
+
+@query("q_in_sentence", """SELECT 'd' || CAST(doc_id AS VARCHAR) AS k, CASE WHEN regexp_matches(text, '^\\p{Lu}\\p{Ll}') THEN lower(substr(text, 1, 1)) || substr(text, 2) ELSE text END AS t FROM documents
   UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), CASE WHEN regexp_matches(p_name, '^\\p{Lu}\\p{Ll}') THEN lower(substr(p_name, 1, 1)) || substr(p_name, 2) ELSE p_name END FROM part""")
 def in_sentence(spark, d):
-    rows = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.substring("text", 1, 20).alias("t"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.col("text").alias("t"))
     rows = rows.unionByName(table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("k"), F.col("n_name").alias("t")))
     rows = rows.unionByName(table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("k"), F.col("p_name").alias("t")))
     return rows.select("k", scalars.in_sentence(F.col("t")).alias("t"))
 
 
-@query("q_collation", """SELECT word, row_number() OVER (ORDER BY word COLLATE es, word) AS rank FROM (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-zÀ-ÿ]+', 0)) AS word FROM documents WHERE lang = 'es')""")
+@query("q_collation", """SELECT word, row_number() OVER (ORDER BY word COLLATE es, word) AS rank FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS word FROM documents WHERE lang = 'es')""")
 def collation(spark, d):
-    words = table(spark, d, "documents").where("lang = 'es'").select(F.lower(F.regexp_extract("text", "[A-Za-zÀ-ÿ]+", 0)).alias("word")).distinct()
+    words = table(spark, d, "documents").where("lang = 'es'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("word")).distinct()
     return windows.rank_of(words, "word", "es").select(F.collate("word", "UTF8_BINARY").alias("word"), "rank")
 
 
-@query("q_last_non_null", f"""WITH {_SHARE} SELECT u.unit, round(coalesce(arg_max(s.share, s.period), 0), 6) AS v FROM (SELECT DISTINCT unit FROM e) u LEFT JOIN share s ON s.unit = u.unit AND s.lens = 0 AND s.period <= 20 GROUP BY 1""")
+@query("q_last_non_null", f"""WITH {_SHARE} SELECT u.unit, round(coalesce(arg_max(s.share, s.period), 0), 6) AS v FROM (SELECT DISTINCT unit FROM e) u LEFT JOIN share s ON s.unit = u.unit AND s.lens = 0 GROUP BY 1""")
 def last_non_null(spark, d):
-    s = share(spark, d).where("lens = 0").withColumn("v", F.when(F.col("period") <= 20, F.col("share")))
-    return windows.last_non_null(s, "unit", "period", "v").select("unit", r6("v"))
+    return windows.last_non_null(share(spark, d).where("lens = 0"), "unit", "period", "share").select("unit", F.round("share", 6).alias("v"))
 
 
 @query("q_declutter", f"""WITH {_PLANE}, m AS (SELECT label, avg(y) * 100 AS y FROM p GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY y, label) AS k FROM m),
@@ -433,12 +507,25 @@ def alignment(spark, d):
 @query("q_alignment_groups", f"""WITH {_CENTROID}, mem AS (SELECT DISTINCT CASE WHEN unit % 2 = 0 THEN 'even' ELSE 'odd' END AS sel, unit FROM cen),
   s AS (SELECT sel, dim, sum(v) AS s, count(*) AS n FROM cen JOIN mem USING (unit) GROUP BY 1, 2),
   g AS (SELECT c.unit, s.sel, c.v, (s.s - CASE WHEN m.unit IS NULL THEN 0 ELSE c.v END) / (s.n - CASE WHEN m.unit IS NULL THEN 0 ELSE 1 END) AS g FROM cen c JOIN s USING (dim) LEFT JOIN mem m ON m.sel = s.sel AND m.unit = c.unit WHERE s.n > CASE WHEN m.unit IS NULL THEN 0 ELSE 1 END),
-  k AS (SELECT unit, sel, round(sum(v * g) / sqrt(sum(v * v) * sum(g * g)), 9) AS cos FROM g GROUP BY 1, 2)
-  SELECT unit, sel, CAST(round_even(100 * cume_dist() OVER (ORDER BY cos), 0) AS BIGINT) AS pct, round(cos, 5) AS cos FROM k""")
+  k AS (SELECT unit, sel, round(sum(v * g) / sqrt(sum(v * v) * sum(g * g)), 9) AS cos FROM g GROUP BY 1, 2),
+  q AS (SELECT *, CAST(round_even(100 * cume_dist() OVER (ORDER BY cos), 0) AS BIGINT) AS pct FROM k)
+  SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY pct DESC, sel) AS rank, sel, pct, round(cos, 5) AS cos FROM q""")
 def alignment_groups(spark, d):
     cells = align.centroids(table(spark, d, "embeddings"), "label", "embedding")
     groups = cells.select(F.when(F.col("unit") % 2 == 0, "even").otherwise("odd").alias("sel"), "unit").distinct()
-    return align.to_groups(cells, groups).select("unit", "sel", "pct", r6("cos", 5))
+    return align.to_groups(cells, groups).select("unit", "rank", "sel", "pct", r6("cos", 5))
+
+
+@query("q_alignment_modes", f"""WITH u AS (SELECT DISTINCT label AS unit FROM embeddings),
+  cells AS (SELECT 'overall' AS mode, label AS unit, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings
+    UNION ALL SELECT 'lens', label, unnest(range(64)), unnest(CAST(embedding AS DOUBLE[])) FROM embeddings WHERE label < 7 AND vec_id % 2 = 0), cen AS (SELECT mode, unit, dim, avg(x) AS v FROM cells GROUP BY 1, 2, 3),
+  c AS (SELECT a.mode, a.unit AS a, b.unit AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 9) AS cos FROM cen a JOIN cen b ON a.mode = b.mode AND a.dim = b.dim AND a.unit < b.unit GROUP BY 1, 2, 3),
+  q AS (SELECT *, CAST(round_even(100 * cume_dist() OVER (PARTITION BY mode ORDER BY cos), 0) AS BIGINT) AS pct FROM c), m AS (SELECT mode, a AS unit, b AS target, pct, cos FROM q UNION ALL SELECT mode, b, a, pct, cos FROM q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY mode, unit ORDER BY cos DESC, target) AS rank FROM m), t AS (SELECT mode, unit, rank, target, pct, round(cos, 5) AS cos FROM r WHERE rank <= 5)
+  SELECT * FROM t UNION ALL SELECT 'lens', unit, NULL, NULL, NULL, NULL FROM u WHERE unit NOT IN (SELECT unit FROM t WHERE mode = 'lens')""")
+def alignment_modes(spark, d):
+    on = (F.col("label") < 7) & (F.col("vec_id") % 2 == 0)
+    return align.modes(table(spark, d, "embeddings"), "label", "embedding", on).select("mode", "unit", "rank", "target", "pct", r6("cos", 5))
 
 
 _JUDGED = "j AS (SELECT d.doc_id, d.n_chars, l.quality = 0 AS truth FROM documents d JOIN labels l USING (doc_id))"
@@ -506,15 +593,20 @@ def options(spark, d):
     return params.options(m.select(F.col("sel").alias("slug"), "unit"), units).groupBy("sel").agg(F.count("*").alias("n"))
 
 
-@query("q_folds")
+def _chance_sql(key: str, seed: int) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("q_folds", f"WITH {_E} SELECT CAST(floor({_chance_sql('unit', 0)} * 5) AS BIGINT) AS fold, count(*) AS n FROM e GROUP BY 1")
 def folds(spark, d):
     return events(spark, d).groupBy(evaluate.fold(F.col("unit"), 5).alias("fold")).agg(F.count("*").alias("n"))
 
 
-@query("q_sample")
+@query("q_sample", f"""WITH {_E}, r AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 0.1 ELSE 0.5 END AS rate FROM e)
+  SELECT event_id, event_type, round(1.0 / rate, 6) AS weight FROM r WHERE {_chance_sql('event_id', 7)} < rate""")
 def sample(spark, d):
     rates = {"purchase": 0.5, "signup": 0.5, "error": 0.5, "view": 0.1, "click": 0.1}
-    return evaluate.stratified(events(spark, d), "event_type", rates).select("event_id", "event_type", "weight")
+    return evaluate.stratified(events(spark, d), "event_type", rates, "event_id").select("event_id", "event_type", r6("weight"))
 
 
 @query("q_cluster")
@@ -530,8 +622,7 @@ def project(spark, d):
 @query("q_classifier")
 def classifier(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("f"), (F.col("label") == 0).cast("int").alias("y"))
-    model = evaluate.train(rows.where(evaluate.fold(F.col("vec_id"), 5) != 0), "f", "y")
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    scored = model.transform(rows.withColumn("features", array_to_vector("f")))
-    return scored.select("vec_id", vector_to_array("probability")[1].alias("p"))
+    own = evaluate.fold(F.col("vec_id"), 5)
+    model, threshold = evaluate.with_threshold(rows.where(own != 0), "f", "y")
+    scored = evaluate.scored_by(model, rows, "f")
+    return scored.select("vec_id", (own == 0).alias("held_out"), "p", (F.col("p") >= threshold).cast("int").alias("predicted"))

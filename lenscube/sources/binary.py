@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The stored types (little-endian) and the coordinates' scale.
 TYPES = {"uint8": "<u1", "uint16": "<u2", "float32": "<f4"}
@@ -64,20 +66,39 @@ def points(spark: SparkSession, path: str, count: int, columns: list[tuple[str,
 
 
 class Lazy:
-    """Reads that happen once on first use; one that failed is not tried again."""
+    """Reads that happen once, on first use, and are kept; one that Spark can't read is not tried again.
+
+    The first use computes the table, so that a file that breaks off or isn't there shows then, and not later.
+    """
 
     def __init__(self, read):
-        self.read, self.found = read, {}
+        self.read, self.found, self.failed = read, {}, {}
 
     def want(self, path: str) -> DataFrame | None:
-        if path not in self.found:
+        if path not in self.found and path not in self.failed:
             try:
-                self.found[path] = self.read(path).cache()
-            except Exception:
-                self.found[path] = None
-        return self.found[path]
+                df = self.read(path).cache()
+                df.count()
+                self.found[path] = df
+            except (PySparkException, Py4JJavaError) as e:
+                self.failed[path] = e
+        return self.found.get(path)
+
+
+def load_all(reads: dict) -> dict[str, DataFrame]:
+    """All of some named reads, computed side by side; the first that fails raises."""
+    with ThreadPoolExecutor(max(1, len(reads))) as pool:
+        def load(read) -> DataFrame:
+            df = read().cache()
+            df.count()
+            return df
+
+        return dict(zip(reads, pool.map(load, reads.values()), strict=True))
 
 
 def by_lens(df: DataFrame, path: str, column: str) -> None:
-    """Writes a table by one column's values, so that a lookup reads one folder only."""
-    df.repartition(F.col(column)).write.mode("overwrite").partitionBy(column).parquet(path)
+    """Writes a table by one column's values, so that a lookup reads one folder only.
+
+    Every partition writes its own file of each value: values are few, and no task gathers one value's rows.
+    """
+    df.write.mode("overwrite").partitionBy(column).parquet(path)

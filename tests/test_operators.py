@@ -15,7 +15,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("v")).first().v
 
 
-@pytest.mark.parametrize(("v", "en", "es"), [(0.0, "0.0%", "0,0 %"), (0.0004, "<0.1%", "<0,1 %"), (0.0005, "0.1%", "0,1 %"), (12.345, "1,234.5%", "1.234,5 %"), (None, "–", "–"), (float("nan"), "–", "–"), (float("inf"), "–", "–")])
+@pytest.mark.parametrize(("v", "en", "es"), [(0.0, "0.0%", "0,0\u00a0%"), (0.0004, "<0.1%", "<0,1\u00a0%"), (0.0005, "0.1%", "0,1\u00a0%"), (0.0025, "0.3%", "0,3\u00a0%"), (0.0015, "0.2%", "0,2\u00a0%"), (12.345, "1,234.5%", "1234,5\u00a0%"), (123.45678, "12,345.7%", "12.345,7\u00a0%"), (-0.0001, "-0.0%", "-0,0\u00a0%"), (None, "–", "–"), (float("nan"), "–", "–"), (float("inf"), "–", "–")])
 def test_percent_text(spark, v, en, es):
     row = spark.createDataFrame([(v,)], "v double").select(scalars.percent_text(F.col("v")), scalars.percent_text(F.col("v"), "es")).first()
     assert tuple(row) == (en, es)
@@ -32,9 +32,39 @@ def test_text_scalars(spark):
     strings = F.create_map(F.lit("hello"), F.lit("hi {n} {gone}!"))
     assert one(spark, scalars.message(strings, "hello", {"n": F.lit(3)}), v="") == "hi 3 !"
     assert one(spark, scalars.message(strings, "absent"), v="") == "absent"
-    assert one(spark, scalars.ratio_text(F.col("v")), v=1.25) in ("1.2×", "1.3×")
+    assert one(spark, scalars.message(strings, "hello", {"n": F.lit("a{gone}{n}$1")}), v="") == "hi a{gone}{n}$1 !"
+    assert one(spark, scalars.ratio_text(F.col("v")), v=1.25) == "1.3×"
 
 
+def test_lists(spark):
+    def shown(items, *how):
+        return spark.createDataFrame([(items,)], "v array<string>").select(scalars.listed(F.col("v"), *how)).first()[0]
+
+    assert [shown(list("abcd"[:n])) for n in range(5)] == ["", "a", "a and b", "a, b, and c", "a, b, c, and d"]
+    assert shown(["a", "b"], "en", "disjunction") == "a or b" and shown(["a", "b", "c"], "es", "disjunction") == "a, b o c"
+    assert [shown(["a", "b", x], "es") for x in ("c", "Irán", "hilo", "hielo", "hiato")] == ["a, b y c", "a, b e Irán", "a, b e hilo", "a, b y hielo", "a, b y hiato"]
+    assert [shown(["a", x], "es", "disjunction") for x in ("b", "otro", "hoy", "8", "11", "110")] == ["a o b", "a u otro", "a u hoy", "a u 8", "a u 11", "a o 110"]
+
+
+def test_ranks_in_ranges_equal_a_single_window(spark):
+    words = ["ñu", "nube", "oso", "árbol", "arco", "zeta", "Zeta", "él", "el", "eco"] + [f"w{k % 97}{k}" for k in range(60)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    ranks = [{r.w: r["rank"] for r in windows.rank_of(rows, "w", c, per_range=n).select(F.collate("w", "UTF8_BINARY").alias("w"), "rank").collect()} for c in ("es", None) for n in (7, 10**6)]
+    assert ranks[0] == ranks[1] and ranks[2] == ranks[3] and sorted(ranks[0].values()) == list(range(1, 71))
+    assert ranks[0]["arco"] < ranks[0]["eco"] < ranks[0]["nube"] < ranks[0]["ñu"] < ranks[0]["oso"]
+
+
+def test_units_without_vectors_on_a_lens_have_a_row_of_nulls(spark):
+    v = spark.createDataFrame([(u, [float(u), float(u * u % 5), 1.0], u < 3) for u in range(4)], "u int, v array<double>, held boolean")
+    got = align.modes(v, "u", "v", F.col("held")).where("mode = 'lens'").collect()
+    assert {r.unit for r in got if r.target is None} == {3} and {r.unit for r in got if r.target is not None} == {0, 1, 2}
+
+
+def test_ties_of_a_composition_are_first_seen_first(spark):
+    parts = spark.createDataFrame([(1, 2, 0, 7, 0.3), (1, 2, 1, 3, 0.3), (1, 3, 0, 3, 0.1), (1, 3, 1, 7, 0.1), (1, 3, 2, 1, 0.2)], "unit int, period int, ord int, topic int, share double")
+    got = cube.top_and_others(cube.composition(parts, parts.select("unit", "period")), 3, 2).orderBy("ord").collect()
+    assert [r.topic for r in got] == [7, 3, 1, -1]
+
 def test_approximate_needs_a_failed_bar(spark):
     rows = spark.createDataFrame([(False, True), (False, False), (False, None), (True, False)], "every boolean, passed boolean")
     assert [r[0] for r in rows.select(scalars.is_approximate(F.col("every"), F.col("passed"))).collect()] == [False, True, False, False]
@@ -52,7 +82,7 @@ def test_means_weigh_units_not_periods(spark):
 
 
 def test_composition_counts_unnamed_topics_as_zero(spark):
-    parts = spark.createDataFrame([(1, 1, 7, 0.5), (1, 2, 8, 0.9)], "unit int, period int, topic int, share double")
+    parts = spark.createDataFrame([(1, 1, 0, 7, 0.5), (1, 2, 0, 8, 0.9)], "unit int, period int, ord int, topic int, share double")
     spoken = spark.createDataFrame([(1, 1), (1, 2)], "unit int, period int")
     assert {r.topic: r.share for r in cube.composition(parts, spoken).collect()} == {7: 0.25, 8: 0.45}
 
@@ -104,12 +134,12 @@ def test_first_covering_interval_wins(spark):
 
 def test_running_totals_equal_a_single_window(spark):
     rows = [(k * 3 % 101, k) for k in range(101)]
-    got = windows.running_totals(spark.createDataFrame(rows, "o int, v int"), "o", ["v"], ranges=7).collect()
+    got = windows.running_totals(spark.createDataFrame(rows, "o int, v int"), "o", ["v"], per_range=15).collect()
     total, want = 0, {}
     for o, v in sorted(rows):
         total += v
         want[o] = total
-    assert {r.o: r.sum_v for r in got} == want
+    assert {r.o: r.sum_v for r in got} == want and {r.total_v for r in got} == {total}
 
 
 def test_fragments_hold_60_to_260_words(spark):

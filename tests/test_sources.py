@@ -59,6 +59,21 @@ def test_lazy_reads_once_and_never_again_after_a_failure(spark, tmp_path):
     assert lazy.want(str(tmp_path / "none")) is None and lazy.want(str(tmp_path / "none")) is None and len(asked) == 1
 
 
+def test_lazy_finds_a_file_that_breaks_off_at_load(spark, tmp_path):
+    (tmp_path / "short.bin").write_bytes(b"123")
+    lazy = binary.Lazy(lambda path: binary.counts(spark, path, 2, 2, 1946))
+    assert lazy.want(str(tmp_path / "short.bin")) is None and list(lazy.failed) == [str(tmp_path / "short.bin")]
+    (tmp_path / "whole.bin").write_bytes(bytes([1, 0, 0, 0, 2, 0, 0, 0]))
+    assert lazy.want(str(tmp_path / "whole.bin")).count() == 2
+
+
+def test_load_all_raises_if_one_fails(spark, tmp_path):
+    got = binary.load_all({"a": lambda: spark.range(3), "b": lambda: spark.range(2)})
+    assert {k: v.count() for k, v in got.items()} == {"a": 3, "b": 2}
+    with pytest.raises(Exception, match="none"):
+        binary.load_all({"a": lambda: spark.range(3), "b": lambda: spark.read.parquet(str(tmp_path / "none"))})
+
+
 def test_partitioned_lookup_reads_one_folder(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "v int, lens string")
     binary.by_lens(df, str(tmp_path / "t"), "lens")
