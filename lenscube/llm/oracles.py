@@ -15,10 +15,16 @@ dw AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS win FROM
   (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
 hit AS (SELECT doc_id, p, k, item FROM dw JOIN iw USING (k, win)),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, p, k FROM hit)) GROUP BY 1),
+it AS (SELECT item, row_number() OVER () AS r, w, list_sort(list_transform(list_distinct(w), lambda x: [lpad(CAST(1000000 - octet_length(encode(x)) AS VARCHAR), 7, '0'), x]))[1:6] AS t FROM i WHERE len(w) > 0),
+tm AS (SELECT r, item, list_transform(t, lambda x: x[2]) AS terms FROM it),
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+an AS (SELECT r, item, terms, doc_id, p FROM tm JOIN dp ON word = terms[1]),
+ok AS (SELECT a.item, a.doc_id, a.r, a.p, count(DISTINCT b.word) AS k, max(len(a.terms)) AS n FROM an a JOIN dp b ON b.doc_id = a.doc_id AND b.p BETWEEN a.p - 30 AND a.p + 30 AND list_contains(a.terms, b.word) GROUP BY 1, 2, 3, 4),
+close AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM ok WHERE k = n GROUP BY 1),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN close USING (doc_id)"""
 
 REPEATS = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -41,7 +47,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id"""
 
 WARC = """
-WITH p AS (SELECT DISTINCT page_id, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, octet_length(encode(html)) AS n, upper(sha1(html)) AS s FROM p),
 g AS (SELECT page_id, n, array_to_string(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
   lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, 1 + 5 * i, 5) AS BIGINT) >> k) & 31 AS INT) + 1, 1)), 'string_agg', '')), '') AS digest FROM h),
