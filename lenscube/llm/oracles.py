@@ -60,15 +60,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_TEMPLATES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)}, {_quoted(family)})" for k, (name, text, family) in enumerate(TEMPLATES))
 _GRAMS = f"list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda p: array_to_string(w[p : p + {SHINGLE - 1}], ' ')))"
 
 LICENSES = f"""
-WITH t AS (SELECT k, name, {_GRAMS} AS g FROM (SELECT k, name, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(k, name, text))),
-tg AS (SELECT k, name, len(g) AS n, unnest(g) AS gram FROM t),
+WITH t AS (SELECT k, name, family, {_GRAMS} AS g FROM (SELECT k, name, family, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(k, name, text, family))),
+tg AS (SELECT k, name, family, len(g) AS n, unnest(g) AS gram FROM t),
 dg AS (SELECT doc_id, unnest({_GRAMS}) AS gram FROM (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents)),
-c AS (SELECT doc_id, k, name, count(*) / max(n) AS share FROM dg JOIN tg USING (gram) GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST} * max(n)),
-f AS (SELECT doc_id, count(*) AS n_templates, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(share) AS best FROM c GROUP BY 1)
+a AS (SELECT doc_id, k, name, family, count(*) / max(n) AS share FROM dg JOIN tg USING (gram) GROUP BY 1, 2, 3, 4 HAVING count(*) >= {LEAST} * max(n)),
+c AS (SELECT *, max(share) OVER (PARTITION BY doc_id, family) AS most FROM a),
+f AS (SELECT doc_id, count(*) AS n_templates, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(share) AS best FROM c WHERE share = most GROUP BY 1)
 SELECT d.doc_id, coalesce(n_templates, 0) AS n_templates, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best_containment FROM documents d LEFT JOIN f USING (doc_id)"""
 
 ORACLES = {"op2_repeats": REPEATS, "op5_decontamination": DECONTAMINATION, "op7_chat": CHAT, "op8_warc": WARC, "op10_licenses": LICENSES}
