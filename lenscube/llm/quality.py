@@ -8,6 +8,7 @@ log-densities, whose Mahalanobis terms use inverse Cholesky factors kept with th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lenscube.llm.common import cut, docs_of, map_rows, slices
+from lenscube.llm.common import cut, docs_of, forget, map_rows, slices
 
 _CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32,), "line": (10,), "tab": (9, 11, 12, 13),
@@ -25,32 +26,49 @@ _CLASSES = {
 _OF = np.zeros((256, len(_CLASSES)), np.float64)
 for _k, _bytes in enumerate(_CLASSES.values()):
     _OF[list(_bytes), _k] = 1
+#: A text's plain statistics: bytes of each class, bytes, words, distinct words, lines, distinct lines.
+STATS = len(_CLASSES) + 5
 WIDTH = len(_CLASSES) + 6
-#: An ordinary text's shares of the classes, which stand in for so many bytes and words of every text: short
-#: texts, whose own shares say little, come out as ordinary ones.
-_ORDINARY = np.array([0.03, 0.78, 0.005, 0.15, 0.01, 0.0005, 0.02, 0.0005, 0.0005, 0.0005, 0.0005, 0.03])
-PRIOR_BYTES, PRIOR_WORDS = 60, 2
-SHRINKAGE, RIDGE = 0.1, 0.005  # these four are the choice of ``tuning.choose``, which sees training rows only
+#: How many ordinary bytes and words stand beside every text's own: short texts, whose own shares say little, come
+#: out as ordinary ones.
+PRIOR_BYTES, PRIOR_WORDS = 180, 2
+SHRINKAGE, RIDGE = 0.02, 0.005  # these four are the choice of ``tuning.choose``, which sees training rows only
 
 
-def features(texts: list[str | None], prior_bytes: float = PRIOR_BYTES, prior_words: float = PRIOR_WORDS) -> np.ndarray:
-    """A row of transformed statistics for each text; a null text is an empty one."""
-    out = np.zeros((len(texts), WIDTH))
+def stats(texts: list[str | None]) -> np.ndarray:
+    """A row of plain statistics for each text; a null text is an empty one."""
+    out = np.zeros((len(texts), STATS))
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace")
-        counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _OF
         words, lines = raw.split(), raw.split(b"\n")
-        n, w = len(raw), len(words)
-        distinct = len(set(words))
-        out[i, : len(_CLASSES)] = np.log((counts + prior_bytes * _ORDINARY + 0.05) / (n + prior_bytes + 0.6))
-        out[i, len(_CLASSES) :] = (
-            np.log1p(n), np.log1p(w), np.log((n - counts[3] + 6 * prior_words) / (w + prior_words)),
-            np.log((distinct + 0.9 * prior_words) / (w + prior_words)), np.log((len(set(lines)) + 2) / (len(lines) + 2)),
-            np.log((len(lines) + prior_words / 20) / (w + prior_words)),
-        )
+        out[i, : len(_CLASSES)] = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _OF
+        out[i, len(_CLASSES) :] = len(raw), len(words), len(set(words)), len(lines), len(set(lines))
     return out
 
 
+def ordinary(total: np.ndarray) -> np.ndarray:
+    """From the sums of all texts' statistics: shares of the classes, letters, distinct words and lines for a word.
+
+    Without any text the classes are equal and a word is one letter.
+    """
+    counts, (n, words, distinct, lines, _) = total[: len(_CLASSES)], total[len(_CLASSES) :]
+    if not n or not words:
+        return np.array([*np.full(len(_CLASSES), 1 / len(_CLASSES)), 1.0, 1.0, 1.0])
+    return np.array([*counts / n, (n - counts[3]) / words, distinct / words, lines / words])
+
+
+def features(raw: np.ndarray, usual: np.ndarray, prior_bytes: float = PRIOR_BYTES, prior_words: float = PRIOR_WORDS) -> np.ndarray:
+    """Transformed statistics, with some of an ordinary text's (``ordinary``) beside each text's own."""
+    k = len(_CLASSES)
+    counts, (n, w, distinct, lines, distinct_lines) = raw[:, :k], raw[:, k:].T
+    per_word = w + prior_words
+    return np.column_stack([
+        np.log((counts + prior_bytes * usual[:k] + 0.05) / (n + prior_bytes + 0.05 * k)[:, None]), np.log1p(n), np.log1p(w),
+        np.log((n - counts[:, 3] + usual[k] * prior_words + 0.01) / per_word), np.log((distinct + usual[k + 1] * prior_words) / per_word),
+        np.log((distinct_lines + 2) / (lines + 2)), np.log((lines + usual[k + 2] * prior_words) / per_word),
+    ])
+
+
 @dataclass
 class Model:
     """Per class: log prior, mean, inverse Cholesky factor and log-determinant of the covariance."""
@@ -97,62 +115,85 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def table_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, f array<double>), computed once."""
+    """(doc_id, f array<double>): the statistics of every row, computed once."""
 
     def run(batches):
         for b in slices(batches, 8 << 20):
-            yield [b.column(0).to_pylist(), list(features(b.column(1).to_pylist()))]
+            yield [b.column(0), list(stats(b.column(1).to_pylist()))]
 
     return cut(map_rows(docs_of(docs), run, "doc_id long, f array<double>"))
 
 
-def fit(table: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+def _summed(rows: DataFrame, summed: Callable[[Iterable], np.ndarray]) -> np.ndarray:
+    """The sum of every task's array of one fixed size."""
+
+    def run(batches):
+        part = np.asarray(summed(batches), np.float64)
+        yield [np.arange(part.size), part.ravel()]
+
+    found = {r.k: r.v for r in map_rows(rows, run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # of that size
+    return np.array([found[k] for k in range(len(found))])
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def usual_of(table: DataFrame) -> np.ndarray:
+    """``ordinary`` of all rows of a table of statistics."""
+    return ordinary(np.resize(_summed(table.select("f"), lambda batches: sum((_matrix(b.column(0), STATS).sum(axis=0) for b in batches), np.zeros(STATS))), STATS))
+
+
+def fit(table: DataFrame, labels: DataFrame, usual: np.ndarray, label: str = "quality") -> Model:
     """Fits on every labelled row that isn't held out; null labels and null ids are passed over."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
 
-    def moments(batches):
+    def moments(batches) -> np.ndarray:
         sums = np.zeros((2, 1 + WIDTH + WIDTH * WIDTH))
         for b in batches:
-            if b.num_rows:
-                y = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy().reshape(-1, WIDTH)
-                for c in (0, 1):
-                    own = x[y == c]
-                    sums[c] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
-        yield [np.repeat([0, 1], sums.shape[1]), np.tile(np.arange(sums.shape[1]), 2), sums.ravel()]
-
-    parts = map_rows(table.join(known, "doc_id").select("y", "f"), moments, "y int, k int, v double")
-    rows = parts.groupBy("y", "k").agg(F.sum("v").alias("v")).collect()  # 2 x (1 + d + d * d) numbers
-    sums = np.zeros((2, 1 + WIDTH + WIDTH * WIDTH))
-    for r in rows:
-        sums[r.y, r.k] = r.v
+            y, x = b.column(0).to_numpy(), features(_matrix(b.column(1), STATS), usual)
+            for c in (0, 1):
+                own = x[y == c]
+                sums[c] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+        return sums
+
+    sums = np.resize(_summed(table.join(known, "doc_id").select("y", "f"), moments), (2, 1 + WIDTH + WIDTH * WIDTH))
     return fit_moments(sums[:, 0], sums[:, 1 : 1 + WIDTH], sums[:, 1 + WIDTH :].reshape(2, WIDTH, WIDTH))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, rows that repeat an id included.
 
-    A null or empty text is scored as an empty one; a null doc_id stays null and counts as not held out.
+    A null or empty text is scored as an empty one, a text of any length whole; a null doc_id stays null and counts
+    as not held out. A label of an id that several rows have counts for each; several labels of one id count each.
+    Without labels every score is one half; an empty table gives no rows. Other columns are not read.
     """
     table = table_of(docs)
-    model = fit(table, labels)
+    usual = usual_of(table)
+    model = fit(table, labels, usual)
 
     def run(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(-1, WIDTH)
-            yield [b.column(0), model.score(x)]
+            yield [b.column(0), model.score(features(_matrix(b.column(1), STATS), usual))]
 
     scored = map_rows(table, run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier accepts, all columns as they were."""
-    model = fit(table_of(docs), labels)
+    """The documents that the classifier accepts, all columns, of whatever names, as they were; nulls as in ``classify``.
+
+    The statistics are worked out for the fit and again while the texts pass by, so that no text is shuffled or
+    written.
+    """
+    table = table_of(docs)
+    usual = usual_of(table)
+    model = fit(table, labels, usual)
+    forget(table)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features(text.tolist()))) if len(text) else pd.Series([], dtype=float)
+        return pd.Series(model.score(features(stats(text.tolist()), usual)) if len(text) else [], dtype=float)
 
     return docs.where(score(F.col("text")) >= threshold)
