@@ -50,9 +50,14 @@ def remove(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all that the operators have kept in the shared folder; call it when their results have been read."""
-    for path in list(_written):
+def kept() -> set[str]:
+    """What the operators keep in the shared folder at present."""
+    return set(_written)
+
+
+def release(spark: SparkSession, but: set[str] = frozenset()) -> None:
+    """Removes what the operators keep in the shared folder, ``but`` excepted, once their results have been read."""
+    for path in kept() - but:
         remove(spark, path)
 
 

@@ -1,7 +1,8 @@
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline as pipeline
-from lenscube.llm import decontamination, quality, secrets, simhash
+from lenscube.llm import common, decontamination, quality, secrets, simhash, warc
 from lenscube.llm.common import load
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,25 @@ def test_run_packs_what_the_stages_keep(spark):
         pieces[r.doc_id, r.doc_tokens] += r.length
     assert all(n == 4096 or n & (n - 1) == 0 for n in sequences.values())
     assert pieces and all(total == n for (_, total), n in pieces.items())
+
+
+def test_stages_with_nulls_repeats_and_any_columns(spark):
+    rows = [(1, "plain words of a plain text, all of them good.", "en", "s", 46, "x"), (1, None, None, None, None, None), (None, "", None, None, 0, None), (None, "", None, None, 0, None)]
+    rows += [(5, "long " * 60_000, "en", "s", 300_000, "y"), (6, "pass token=abcdefgh " * 3, "en", "s", 60, "z")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` string")
+    for table in (docs, docs.where("false")):
+        for _, stage in pipeline.STAGES[:-1]:
+            table = stage(spark, table, SF)
+            assert table.columns == docs.columns
+        pieces = pipeline.STAGES[-1][1](spark, table, SF)
+        assert (pieces.count() > 0) == (table.count() > 0)
+
+
+def test_the_shared_folder_is_empty_after_use(spark):
+    common.release(spark)
+    pipeline.run(spark, SF).collect()
+    warc.round_trip(load(spark, SF, "pages")).collect()
+    folder = Path(common.checkpoint_dir(spark).removeprefix("file:"))
+    assert len(list(folder.glob("pipeline-*"))) == 1
+    common.release(spark)
+    assert not [p for p in folder.rglob("*") if p.is_file() and not p.name.startswith(".")]
