@@ -1,18 +1,21 @@
 """A corpus pipeline: quality, near-duplicates, benchmark leaks, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. Between stages
-``run`` writes a table to the shared folder and reads it again, which cuts the lineage.
+``run`` writes a table to the shared folder and reads it again, which cuts the lineage, and removes the one before;
+the last one stays until ``lenscube.llm.common.release``.
+
+Null texts count as empty (and stay null until packing), null ids are rows of their own, rows that repeat a doc_id are
+judged each by itself but for near-duplicates, where one of them stays; an empty table gives no rows; texts of any
+length are taken whole; columns beyond those of ``documents``, of whatever name, pass through.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lenscube.llm import decontamination, packing, quality, secrets, simhash
-from lenscube.llm.common import checkpoint_dir, load
+from lenscube.llm.common import kept, load, release, scratch
 from lenscube.llm.queries import tokenizer_path
 
 
@@ -55,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = load(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, mine = load(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        others = kept() - {mine}
+        path = scratch(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs, mine = spark.read.parquet(path), path
+        release(spark, others | {mine})  # the stage before, and what this one's operator kept
     return STAGES[-1][1](spark, docs, sf_dir)
