@@ -36,7 +36,7 @@ GRAM = 24
 #: Bytes of text in a slice, of segments in a suffix array, and aimed at in a shard.
 SLICE, BLOCK, SHARD = 2 << 20, 3 << 20, 6 << 20
 #: Bytes of segments that a task holds before it sends them; windows that are compared at a time.
-HELD, AT_ONCE = 24 << 20, 1 << 16
+HELD, AT_ONCE = 12 << 20, 1 << 16
 #: A segment in one number: shard, start and number of windows.
 SHARD_BITS, START_BITS, COUNT_BITS = 25, 31, 7
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
