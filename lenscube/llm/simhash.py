@@ -29,43 +29,57 @@ TILE, GROUP, SPLIT = 256, 1024, 16384
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The majority of the hash bits of the text's word shingles, repeats included; 0 without words."""
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x ^ np.uint64(seed * 0x165667B19E3779F9 % (1 << 64))) * _MIX
+    return (x ^ (x >> np.uint64(31))) * _ODD
+
+
+def hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split(b" ")
     if b"" in words:
         words = [w for w in words if w]
-    if not words:
-        return 0
     if len(words) <= width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, **more: Column) -> DataFrame:
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The majority of the hash bits of the text's word shingles, repeats included; 0 without words."""
+    return majority(hashes(text, width, seed))
+
+
+def _names(prints: int) -> list[str]:
+    return ["bits", *(f"bits_{k}" for k in range(1, prints))]
+
+
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, prints: int = 1, **more: Column) -> DataFrame:
     """(doc_id, bits long): the fingerprint's 64 bits as a signed number; ``more`` are long columns to go with it.
 
-    A null text has no words.
+    With several ``prints``, bits_1 and on are fingerprints of the same hashes mixed anew. A null text has no words.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in more.items()])
     extra = len(more)
 
     def run(batches):
         for b in slices(batches, 8 << 20):
-            values = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield [b.column(0), values.view(np.int64), *(b.column(2 + k) for k in range(extra))]
+            values = np.zeros((b.num_rows, prints), np.uint64)
+            for i, text in enumerate(b.column(1).to_pylist()):
+                h = hashes(text, width, seed)
+                values[i] = [majority(_mixed(h, k) if k else h) for k in range(prints)]
+            yield [b.column(0), *values.T.copy().view(np.int64), *(b.column(2 + k) for k in range(extra))]
 
-    return map_rows(rows, run, ", ".join(["doc_id long, bits long", *(f"{n} long" for n in more)]))
-
-
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed * 0x165667B19E3779F9 % (1 << 64))) * _MIX
-    return (x ^ (x >> np.uint64(31))) * _ODD
+    return map_rows(rows, run, ", ".join(["doc_id long", *(f"{n} long" for n in [*_names(prints), *more])]))
 
 
 def masks(n: int, radius: int, group: int = GROUP) -> list[int]:
@@ -88,10 +102,10 @@ def masks(n: int, radius: int, group: int = GROUP) -> list[int]:
     return [sum(c) for c in itertools.combinations(blocks, m)]
 
 
-def keys(bits: np.ndarray, radius: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
+def keys(bits: np.ndarray, radius: int, mask: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The key of each fingerprint's own group, and of the one below, whose band of population counts is one less."""
     band = np.bitwise_count(bits).astype(np.uint64) // np.uint64(radius + 1)
-    group = _mixed(bits & np.uint64(mask), mask % 1_000_003 + 1)
+    group = _mixed(bits & np.uint64(mask), mask % 1_000_003 + 1 + salt * 1_000_003)
     return _mixed(group + band, 7), _mixed(group + band - np.uint64(1), 7)
 
 
@@ -166,9 +180,10 @@ def _compared(bits: np.ndarray, part: np.ndarray, below: np.ndarray, radius: int
 
 def _keyed(batches: Iterable[pa.RecordBatch], radius: int, wanted: list[int]) -> Iterator[list]:
     for b in batches:
-        node, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-        for mask in wanted:
-            own, under = keys(bits, radius, mask)
+        node = b.column(0).to_numpy()
+        for k, mask in itertools.product(range(b.num_columns - 1), wanted):
+            bits = b.column(1 + k).to_numpy().view(np.uint64)
+            own, under = keys(bits, radius, mask, k)
             yield [np.concatenate([own, under]).view(np.int64), np.tile(node, 2), np.tile(bits.view(np.int64), 2), np.repeat([0, 1], len(node))]
 
 
@@ -188,6 +203,7 @@ def _dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
 def links(nodes: DataFrame, radius: int = 3, counter: Accumulator | None = None) -> DataFrame:
     """Edges (u, v) of nodes (node long, bits long) that connect what lies within the radius.
 
+    Columns after the first are fingerprints; nodes link by any of them. Nodes may share a fingerprint.
     ``counter`` gets the number of tile pairs that all tasks compare.
     """
     wanted = masks(nodes.count(), radius)
@@ -218,7 +234,7 @@ def links(nodes: DataFrame, radius: int = 3, counter: Accumulator | None = None)
         if held:
             yield tasks(pa.Table.from_batches(held))
 
-    keyed = map_rows(nodes.select("node", "bits"), lambda b: _keyed(b, radius, wanted), "key long, node long, bits long, below int")
+    keyed = map_rows(nodes, lambda b: _keyed(b, radius, wanted), "key long, node long, bits long, below int")
     large = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT)
     sized = keyed.join(large, "key", "left").select("key", "node", "bits", "below", F.coalesce("size", F.lit(1)).alias("size"))
     dealt = map_rows(sized, _dealt, "task long, node long, bits long, below int, part long")
@@ -226,13 +242,13 @@ def links(nodes: DataFrame, radius: int = 3, counter: Accumulator | None = None)
     return map_rows(alone, compare, "u long, v long").distinct()
 
 
-def _grouped(prints: DataFrame, radius: int, counter: Accumulator | None = None) -> DataFrame:
-    """``prints`` (doc_id, bits, more) with component_id."""
-    nodes = cut(prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("node")))
-    repeated = prints.join(nodes, "bits").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
+def _grouped(prints: DataFrame, radius: int, names: list[str], counter: Accumulator | None = None) -> DataFrame:
+    """``prints`` (doc_id, the fingerprints named, more) with component_id."""
+    nodes = cut(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names))
+    repeated = prints.join(nodes, names).groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
     group = components(links(nodes, radius, counter).unionAll(repeated))
-    by_bits = nodes.join(group, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(by_bits, "bits", "left")
+    by_bits = nodes.join(group, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(by_bits, names, "left")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, counter: Accumulator | None = None) -> DataFrame:
@@ -244,21 +260,23 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     left out of links. An empty table gives no rows. Other columns, of whatever name, are not read. A text of
     any length is hashed whole.
     """
-    found = _grouped(cut(fingerprints(docs, width, seed)), radius, counter)
+    found = _grouped(cut(fingerprints(docs, width, seed)), radius, _names(1), counter)
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 5, prints: int = 4) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, all columns, of whatever names, as they were.
 
+    Documents link when any of ``prints`` fingerprints, of the same three-word shingles, differ in ``radius`` bits at
+    most: one fingerprint of 64 bits with a small radius misses most near copies that have a similarity of just over 0.8.
     Of rows that repeat a doc_id the one with the least hash of all its columns stays, so that the choice is the
     same whenever it is made. Rows without a doc_id stay, but one of those with equal texts. A null text has no
     words; an empty table gives no rows. Ids and hashes decide; the rows themselves are exchanged once.
     """
     doc_id, row = F.col("doc_id").cast("long"), whole_row(docs)
     key = {"known": doc_id.isNotNull().cast("long"), "key": F.coalesce(doc_id, F.xxhash64(F.col("text"))), "hash": F.xxhash64(row)}
-    prints = cut(fingerprints(docs, **key))
-    first = _grouped(prints, radius).where("doc_id = component_id or doc_id is null")
+    found = cut(fingerprints(docs, prints=prints, **key))
+    first = _grouped(found, radius, _names(prints)).where("doc_id = component_id or doc_id is null")
     kept = first.groupBy("known", "key").agg(F.min("hash").alias("hash"))
     rows = docs.select(row.alias("row"), *[c.alias(n) for n, c in key.items()])
     one = rows.join(kept, [*key]).dropDuplicates([*key])  # what is left of a key is rows that are equal throughout

@@ -136,3 +136,30 @@ def test_keep_first_with_any_column_names_nulls_and_repeats(spark):
     got = [sorted(map(tuple, simhash.keep_first(docs.repartition(n)).collect()), key=repr) for n in (1, 3, 5)]
     assert got[0] == got[1] == got[2] and simhash.keep_first(docs).columns == docs.columns
     assert sorted(str(x[:2]) for x in got[0]) == sorted([str((1, next(x[1] for x in got[0] if x[0] == 1))), "(None, 'same')", "(None, 'else')", "(None, None)"])
+
+
+def test_keep_first_catches_near_copies_and_leaves_others(spark):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    rows, near = [], []
+    for k in range(60):
+        base = [r.choice(words) for _ in range(150)]
+        rows.append((10 * k, " ".join(base)))
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(150)] = "changed"
+        near.append(10 * k + 5)
+        rows.append((10 * k + 5, " ".join(w)))
+        half = base[:75] + [r.choice(words) for _ in range(75)]
+        rows.append((10 * k + 7, " ".join(half)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.keep_first(docs).collect()}
+    assert all({10 * k, 10 * k + 7} <= kept for k in range(60)) and len(kept & set(near)) <= 12
+    single = {x.doc_id for x in simhash.keep_first(docs, radius=3, prints=1).collect()}
+    assert len(single & set(near)) > len(kept & set(near))
+
+
+def test_nodes_with_equal_fingerprints_link(spark):
+    nodes = spark.createDataFrame([(1, 7, 100), (2, 7, 1 << 40), (3, 9999, 1 << 40), (4, 123456789, 77)], "node long, bits long, bits_1 long")
+    got = {(e.u, e.v) for e in simhash.links(nodes, 0).collect()}
+    assert connected(5, list(got)) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4}
