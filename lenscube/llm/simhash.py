@@ -26,6 +26,8 @@ from lenscube.llm.components import components
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Fingerprints of a tile, aimed at in a group, and of a part of a group at most.
 TILE, GROUP, SPLIT = 256, 1024, 16384
+#: Documents whose shingle sets a part of a component has.
+PART = 512
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -242,12 +244,16 @@ def links(nodes: DataFrame, radius: int = 3, counter: Accumulator | None = None)
     return map_rows(alone, compare, "u long, v long").distinct()
 
 
-def _grouped(prints: DataFrame, radius: int, names: list[str], counter: Accumulator | None = None) -> DataFrame:
-    """``prints`` (doc_id, the fingerprints named, more) with component_id."""
+def _nodes(prints: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node and fingerprints, one of each kind; edges between the nodes that rows of one doc_id have)."""
     nodes = cut(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names))
-    repeated = prints.join(nodes, names).groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
-    group = components(links(nodes, radius, counter).unionAll(repeated))
-    by_bits = nodes.join(group, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    ends = prints.join(nodes, names).groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u"))
+    return nodes, ends.where("u != v").select("u", "v")
+
+
+def _with_component(prints: DataFrame, nodes: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
+    """``prints`` (doc_id, the fingerprints named, more) with component_id."""
+    by_bits = nodes.join(components(edges), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(by_bits, names, "left")
 
 
@@ -260,23 +266,109 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     left out of links. An empty table gives no rows. Other columns, of whatever name, are not read. A text of
     any length is hashed whole.
     """
-    found = _grouped(cut(fingerprints(docs, width, seed)), radius, _names(1), counter)
+    prints = cut(fingerprints(docs, width, seed))
+    nodes, repeated = _nodes(prints, _names(1))
+    found = _with_component(prints, nodes, links(nodes, radius, counter).unionAll(repeated), _names(1))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 5, prints: int = 4) -> DataFrame:
+def _shingle_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[list]:
+    """(task, node, part, grams): a document's shingle set for each task that its part of the component has."""
+    for b in slices(batches, 2 << 20):
+        rows: list[list] = [[], [], [], []]
+        for node, text, component, size in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            grams = np.unique(hashes(text, width).astype(np.uint32)).tobytes()
+            parts = -(-size // PART)
+            mine = int(_mixed(np.array([node], np.int64).view(np.uint64), 17)[0] % np.uint64(parts))
+            other = np.arange(parts, dtype=np.int64)
+            pair = (np.minimum(mine, other) << 20 | np.maximum(mine, other)).view(np.uint64)
+            tasks = _mixed(np.array([component], np.int64).view(np.uint64) * _ODD + pair, 19).view(np.int64).tolist()
+            for column, values in zip(rows, (tasks, [node] * parts, [mine] * parts, [grams] * parts), strict=True):
+                column.extend(values)
+            if len(rows[0]) > 4096:
+                yield rows
+                rows = [[], [], [], []]
+        if rows[0]:
+            yield rows
+
+
+def _confirmed(node: np.ndarray, part: np.ndarray, grams: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges between nodes of one task whose sets have a Jaccard similarity of ``least`` or more; a spanning forest of them.
+
+    Sets are taken by size; pairs whose sizes differ too much, or that are connected already, are passed over.
+    """
+    size = np.array([len(g) for g in grams])
+    order = np.argsort(size, kind="stable")
+    size, node, part = size[order], node[order], part[order]
+    grams = [grams[k] for k in order]
+    across = len(np.unique(part)) > 1
+    _, root = np.unique(node, return_inverse=True)  # rows of one node are connected from the start
+    edges = []
+    for i in range(len(node)):
+        stop = int(np.searchsorted(size, size[i] / least + 1e-9, side="right"))
+        for j in np.flatnonzero((root[i + 1 : stop] != root[i]) & ((part[i + 1 : stop] != part[i]) | (not across))) + i + 1:
+            if root[j] == root[i]:
+                continue  # connected since
+            both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
+            if both >= least * (size[i] + size[j] - both):
+                root[root == root[j]] = root[i]
+                edges.append((int(node[i]), int(node[j])))
+    return edges
+
+
+def confirmed(docs: DataFrame, members: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """Edges (u, v) of members (doc_id, component) of one component whose texts are alike by exact shingle sets.
+
+    Similarity is Jaccard's on the sets of ``width``-word shingles (32 bits of their hashes). Components of over PART
+    members are dealt to a task for each pair of parts; a task yields a forest, never all pairs.
+    """
+    size = members.groupBy("component").agg(F.count("*").alias("size"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = texts.join(members.join(size, "component"), "doc_id").select("doc_id", "text", "component", "size")
+    dealt = map_rows(own, lambda b: _shingle_sets(b, width), "task long, node long, part int, grams binary")
+
+    def compare(batches):
+        held: list[tuple] = []
+
+        def edges() -> list:
+            if len(held) < 2:
+                return []
+            node, part = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
+            return _confirmed(node, part, [np.frombuffer(r[3], np.uint32) for r in held], least)
+
+        found: list[tuple[int, int]] = []
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and held[0][0] != row[0]:
+                    found.extend(edges())
+                    held = []
+                held.append(row)
+            if found:
+                yield [list(x) for x in zip(*found, strict=True)]
+                found = []
+        if last := edges():
+            yield [list(x) for x in zip(*last, strict=True)]
+
+    return map_rows(dealt.repartition("task").sortWithinPartitions("task"), compare, "u long, v long").distinct()
+
+
+def keep_first(docs: DataFrame, radius: int = 5, prints: int = 4, least: float = 0.8) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, all columns, of whatever names, as they were.
 
-    Documents link when any of ``prints`` fingerprints, of the same three-word shingles, differ in ``radius`` bits at
-    most: one fingerprint of 64 bits with a small radius misses most near copies that have a similarity of just over 0.8.
+    Documents are candidates when any of ``prints`` fingerprints of their three-word shingles differ in ``radius`` bits
+    at most (one fingerprint with a small radius misses most near copies that have a similarity of just over 0.8).
+    Within the groups that candidates form, those link whose sets of five-word shingles have a Jaccard similarity of
+    ``least`` or more; documents with all fingerprints equal are one. A text of fewer words is one shingle.
     Of rows that repeat a doc_id the one with the least hash of all its columns stays, so that the choice is the
     same whenever it is made. Rows without a doc_id stay, but one of those with equal texts. A null text has no
-    words; an empty table gives no rows. Ids and hashes decide; the rows themselves are exchanged once.
+    words; an empty table gives no rows. Ids and hashes decide; the rows themselves are exchanged once, and once for the sets.
     """
-    doc_id, row = F.col("doc_id").cast("long"), whole_row(docs)
+    doc_id, row, names = F.col("doc_id").cast("long"), whole_row(docs), _names(prints)
     key = {"known": doc_id.isNotNull().cast("long"), "key": F.coalesce(doc_id, F.xxhash64(F.col("text"))), "hash": F.xxhash64(row)}
     found = cut(fingerprints(docs, prints=prints, **key))
-    first = _grouped(found, radius, _names(prints)).where("doc_id = component_id or doc_id is null")
+    nodes, repeated = _nodes(found, names)
+    members = cut(components(links(nodes, radius)).select(F.col("node").alias("doc_id"), "component"))
+    first = _with_component(found, nodes, confirmed(docs, members, least).unionAll(repeated), names).where("doc_id = component_id or doc_id is null")
     kept = first.groupBy("known", "key").agg(F.min("hash").alias("hash"))
     rows = docs.select(row.alias("row"), *[c.alias(n) for n, c in key.items()])
     one = rows.join(kept, [*key]).dropDuplicates([*key])  # what is left of a key is rows that are equal throughout

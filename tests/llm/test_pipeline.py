@@ -16,14 +16,21 @@ def test_stages_equal_their_decisions(spark):
     after = pipeline.quality_stage(spark, docs, SF)
     assert after.columns == columns and {r.doc_id for r in after.select("doc_id").collect()} == good
     prints = {r.doc_id: [simhash.majority(simhash._mixed(h, k) if k else h) for k in range(4)] for r in after.collect() for h in [simhash.hashes(r.text)]}
-    group = {d: d for d in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in itertools.combinations(sorted(prints), 2):
-            if group[a] != group[b] and any((x ^ y).bit_count() <= 5 for x, y in zip(prints[a], prints[b])):
-                group[a] = group[b] = min(group[a], group[b])
-                changed = True
+    sets = {r.doc_id: set(simhash.hashes(r.text, 5).tolist()) for r in after.collect()}
+
+    def grouped(linked):
+        group = {d: d for d in prints}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in itertools.combinations(sorted(prints), 2):
+                if group[a] != group[b] and linked(a, b):
+                    group[a] = group[b] = min(group[a], group[b])
+                    changed = True
+        return group
+
+    candidates = grouped(lambda a, b: any((x ^ y).bit_count() <= 5 for x, y in zip(prints[a], prints[b])))
+    group = grouped(lambda a, b: candidates[a] == candidates[b] and (prints[a] == prints[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])))
     groups = {d for d in group if group[d] == d}
     first = pipeline.near_duplicate_stage(spark, after, SF)
     assert first.columns == columns and sorted(r.doc_id for r in first.select("doc_id").collect()) == sorted(groups)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from lenscube.llm import simhash
 from lenscube.llm.components import components
@@ -157,9 +158,51 @@ def test_keep_first_catches_near_copies_and_leaves_others(spark):
     assert all({10 * k, 10 * k + 7} <= kept for k in range(60)) and len(kept & set(near)) <= 12
     single = {x.doc_id for x in simhash.keep_first(docs, radius=3, prints=1).collect()}
     assert len(single & set(near)) > len(kept & set(near))
+    every = {x.doc_id for x in simhash.keep_first(docs, radius=5, prints=4, least=0.99).collect()}
+    assert len(every) == len(rows)  # no pair has that similarity, whatever the fingerprints say
 
 
 def test_nodes_with_equal_fingerprints_link(spark):
     nodes = spark.createDataFrame([(1, 7, 100), (2, 7, 1 << 40), (3, 9999, 1 << 40), (4, 123456789, 77)], "node long, bits long, bits_1 long")
     got = {(e.u, e.v) for e in simhash.links(nodes, 0).collect()}
     assert connected(5, list(got)) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_candidates_are_confirmed_by_exact_sets_in_parts(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(12):
+        base = [r.choice(words) for _ in range(80)]
+        for n in (0, 1, 3, 5, 8, 12, 20):
+            w = list(base)
+            for at in r.sample(range(80), n):
+                w[at] = "x"
+            texts.append(" ".join(w))
+    texts += [None, "", "one two", "one two", "one three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = docs.select("doc_id", (F.col("doc_id") % 2).alias("component"))
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    want = {k: k for k in range(len(texts))}
+    for a in want:
+        for b in want:
+            x, y = grams(texts[a]), grams(texts[b])
+            if a < b and a % 2 == b % 2 and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    edges = [(e.u, e.v) for e in simhash.confirmed(docs, members).collect()]
+    assert connected(len(texts), edges) == want
+    sets = [np.unique(simhash.hashes(t, 5).astype(np.uint32)) for t in texts]
+    part = np.arange(len(texts)) // 2 % 3
+    dealt = []
+    for x in range(3):
+        for y in range(x, 3):
+            own = np.flatnonzero((part == x) | (part == y))
+            for c in (0, 1):
+                mine = own[own % 2 == c]
+                dealt += simhash._confirmed(mine, part[mine], [sets[k] for k in mine], 0.8)
+    assert connected(len(texts), dealt) == want
