@@ -11,7 +11,6 @@ window of a partition is cut at powers of two, where no padding is due.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -226,7 +225,3 @@ def digest(pieces: DataFrame) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
-
-def crc_of(ids: list[int]) -> int:
-    """The checksum of one list of ids, for tests."""
-    return zlib.crc32(b"".join(i.to_bytes(WIDTH, "little") for i in ids))

@@ -20,7 +20,6 @@ that differs in a byte once, and equal ones once a task.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -400,7 +399,3 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 def report(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def sha(data: bytes) -> str:
-    """For tests."""
-    return hashlib.sha256(data).hexdigest()

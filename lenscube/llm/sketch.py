@@ -264,7 +264,8 @@ def against_next(docs: DataFrame, per_bucket: int = 1024) -> DataFrame:
     Likeness is that of the fingerprints (``near``); ``gone`` and ``come`` are the digests (8 bytes each) that only
     the text and only its edited text have, recovered by peeling, after ``attempts`` larger sketches where the
     fingerprints' own could not be peeled. Null texts are empty; null ids come last; rows that repeat a doc_id
-    follow by hash of the text. The only document follows itself; an empty table gives no rows. Other columns,
+    follow by hash of the text. The only document follows itself; an empty table gives no rows. Texts of any
+    length are taken whole. Other columns,
     of whatever name, are not read. Documents are dealt into ranges of ids by approximate quantiles, and rows of one
     id that fill several ranges (null ids, too) by their texts' hashes; the first document of a range goes to the
     range before as well, so one shuffle serves.

@@ -102,7 +102,8 @@ def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BY
     metadata record has the url as it was. Payloads of ``least`` bytes or more that equal another page's are
     revisits of the one with the largest page_id; smaller ones, and rows without a page_id, are always
     responses. Rows that repeat, wholly or in page_id and html, are a capture each; those with the largest
-    page_id are all responses. Other columns, of whatever name, are not read. An empty table gives no captures.
+    page_id are all responses. A page of any size is one capture, held whole by the task that writes it. Other
+    columns, of whatever name, are not read. An empty table gives no captures.
     """
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.xxhash64(url).alias("url_key"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import tracemalloc
 
@@ -23,7 +24,7 @@ def brute(rows, length):
             if first[raw[s : s + length]] != (d, s):
                 gone[s : s + length] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
-        out.append((d, len(raw), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum() + gone[0]), repeats.sha(kept)))
+        out.append((d, len(raw), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
