@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lenscube.functions import scalars
 from lenscube.operators import align, clusters, cube, evaluate, names, points, quotes, text, windows
 from lenscube.plans import params
+from lenscube.sources import binary, documents, shared
 
 LENSES = ("purchase", "signup", "error")
 TOPICS = ("purchase", "signup", "error", "ALL", "view", "click")
@@ -80,6 +81,13 @@ def share_cube(spark, d):
     return share(spark, d).select("unit", "period", "lens", r6("share"))
 
 
+@query("q_partition_lookup", f"WITH {_SHARE} SELECT unit, period, round(share, 6) AS share FROM share WHERE lens = 3")
+def partition_lookup(spark, d):
+    path = shared.folder(spark, "shares")
+    binary.by_lens(share(spark, d), path, "lens")
+    return spark.read.parquet(path).where("lens = 3").select("unit", "period", r6("share"))
+
+
 @query("q_share_probability", f"WITH {_E} SELECT unit, period, event_type AS lens, round(avg(value), 6) AS share FROM e GROUP BY 1, 2, 3")
 def share_probability(spark, d):
     p = events(spark, d).withColumnRenamed("event_type", "lens")
@@ -144,6 +152,23 @@ def composition(spark, d):
     return composition_of(spark, d).select("unit", "topic", r6("share"))
 
 
+@query("q_json_composition", f"""WITH {_PARTS} SELECT unit, period, row_number() OVER (PARTITION BY unit, period ORDER BY topic) - 1 AS ord, topic, round(share, 6) AS share FROM parts""")
+def json_composition(spark, d):
+    """Compositions written as JSON documents {unit: {period: [[topic, share], ...]}} and read back."""
+    e = events(spark, d)
+    topic = (F.array_position(F.array(*[F.lit(t) for t in TOPICS]), F.col("event_type")) - 1).alias("topic")
+    each = e.groupBy("unit", "period", topic).agg(F.count("*").alias("k"))
+    item = F.struct("topic", (F.col("k") / F.sum("k").over(Window.partitionBy("unit", "period"))).alias("share"))
+    cells = each.select("unit", "period", item.alias("i")).groupBy("unit", "period").agg(F.array_sort(F.collect_list("i")).alias("v"))
+    items = F.transform("v", lambda i: F.array(i["topic"].cast("string"), i["share"].cast("string")))
+    unit = cells.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct(F.col("period").cast("string"), items))).alias("v"))
+    doc = unit.select(F.to_json(F.create_map(F.col("unit").cast("string"), "v")).alias("value"))  # a document a unit
+    path = shared.folder(spark, "composition")
+    doc.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    back = documents.nested(spark, path, "array<string>")
+    return back.select(F.col("unit").cast("long").alias("unit"), "period", "ord", F.col("item")[0].cast("int").alias("topic"), F.round(F.col("item")[1].cast("double"), 6).alias("share"))
+
+
 @query("q_topn_others", f"""WITH {_PARTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round(share, 9) DESC, seen) AS ord FROM comp),
   top AS (SELECT * FROM ranked WHERE ord <= 3), shaded AS (SELECT unit, ord, topic, share, (row_number() OVER (PARTITION BY unit, topic < 3 ORDER BY ord) - 1) % 2 AS shade FROM top),
   rest AS (SELECT unit, 1 - sum(share) AS share FROM top GROUP BY 1)
