@@ -162,7 +162,8 @@ def json_composition(spark, d):
     cells = each.select("unit", "period", item.alias("i")).groupBy("unit", "period").agg(F.array_sort(F.collect_list("i")).alias("v"))
     items = F.transform("v", lambda i: F.array(i["topic"].cast("string"), i["share"].cast("string")))
     unit = cells.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct(F.col("period").cast("string"), items))).alias("v"))
-    doc = unit.select(F.to_json(F.create_map(F.col("unit").cast("string"), "v")).alias("value"))  # a document a unit
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("unit").cast("string"), F.col("v"))))
+    doc = unit.groupBy(F.floor(F.col("unit") / 64)).agg(F.to_json(entries).alias("value")).select("value")  # a document has 64 units
     path = shared.folder(spark, "composition")
     doc.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     back = documents.nested(spark, path, "array<string>")
