@@ -1,5 +1,6 @@
 """Edge cases and closed forms against plain Python."""
 
+import math
 import random
 
 import pytest
@@ -126,6 +127,54 @@ def test_nearest_prefers_the_tier(spark):
     assert [(r.probe, r.idx, r.tier) for r in points.nearest_in_radius(q, p, 0.1).collect()] == [(99, 2, 0)]
 
 
+def nearest_by_all_pairs(q, p, r):
+    best = {}
+    for probe, px, py, own in q:
+        for idx, x, y, label in p:
+            if idx != probe and None not in (x, y, px, py) and (d2 := (x - px) * (x - px) + (y - py) * (y - py)) < r * r:
+                best[probe] = min(best.get(probe, (9,)), (int(own is None or label != own), d2, idx))
+    return sorted((probe, idx, tier, d2) for probe, (tier, d2, idx) in best.items())
+
+
+def nearest_of(spark, q, p, r):
+    return points.nearest_in_radius(spark.createDataFrame(q, "probe long, px double, py double, label int"), spark.createDataFrame(p, "idx long, x double, y double, label int"), r)
+
+
+def rows_of_joins(plan):
+    kind = plan.nodeName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in kind else None
+    below = [inner] if inner else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in kind else []
+    return own + [n for x in below for n in rows_of_joins(x)]
+
+
+_R = random.Random(5)
+SCENES = [  # each a square of its own
+    [(k, _R.randrange(20) / 20, _R.randrange(20) / 20, _R.choice([1, 2, None])) for k in range(600)],
+    [(k, 0.5, 0.5, k % 3) for k in range(300)],
+    [(k, 1e-5 * _R.random(), 1e-5 * _R.random(), _R.choice([1, 2])) for k in range(500)] + [(500 + k, _R.random(), _R.random(), 3 + k % 60) for k in range(60)],
+    [(k, 0.5 + 0.05 * math.cos(k), 0.5 + 0.05 * math.sin(k), 2) for k in range(1, 400)] + [(0, 0.5, 0.5, 1), (400, 0.52, 0.5, 3)],
+    [(k % 90, _R.random(), _R.random(), k % 3) for k in range(200)] + [(5, 0.2, 0.2, 1), (7, 0.2, 0.2, 1), (300, None, 0.5, 1), (301, 0.5, float("nan"), 1)],
+]
+
+
+def test_nearest_equals_all_pairs(spark):
+    p = [(1000 * k + idx, None if x is None else x + 2 * k, y, label) for k, scene in enumerate(SCENES) for idx, x, y, label in scene]
+    q = [x for x in p if x[0] % 3 == 0] + [(9999, 8.2, 0.2, 1)]
+    assert sorted(map(tuple, nearest_of(spark, q, p, 0.1).collect())) == nearest_by_all_pairs(q, p, 0.1)
+
+
+def test_nearest_of_nothing(spark):
+    assert nearest_of(spark, [(1, 0.5, 0.5, 1)], [], 0.1).collect() == []
+
+
+def test_nearest_compares_few_pairs_in_a_crowd(spark):
+    p = [(k, 0.05 * _R.random(), 0.05 * _R.random(), k % 2) for k in range(2000)]
+    got = nearest_of(spark, p, p, 0.1)
+    assert len(got.collect()) == 2000
+    assert 2000 <= max(rows_of_joins(got._jdf.queryExecution().executedPlan())) < 200 * 2000  # all pairs are 4,000,000
+
+
 def test_first_covering_interval_wins(spark):
     rows = spark.createDataFrame([(1, y, "New") for y in (1989, 1990, 1991, 1995)], "unit int, period int, name string")
     history = spark.createDataFrame([(1, 0, 1980, 1990, "A"), (1, 1, 1990, 1991, "B")], "unit int, ord int, first int, last int, old string")
